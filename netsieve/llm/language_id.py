@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +39,7 @@ WORD = r"[^\W\d_]+"
 class Limits:
     """Rows sampled of each language, entries kept of each kind, longest n-gram, added counts, languages at most."""
 
-    rows: int = 2000
+    rows: int = 1000
     words: int = 40_000
     grams: int = 40_000
     longest: int = 4
@@ -76,13 +76,19 @@ def _frequent(sample: DataFrame, most: int) -> Counts:
 
 def _grams(words: Counts, limits: Limits) -> Counts:
     """The most frequent n-grams of those words, a space standing for either end of a word."""
-    found: dict[str, Counter] = {}
+    found: dict[str, Counter] = defaultdict(Counter)
     for word, by in words:
         padded = f" {word} "
-        for n in range(1, limits.longest + 1):
-            for at in range(len(padded) - n + 1):
-                found.setdefault(padded[at : at + n], Counter()).update(by)
-    return sorted(found.items(), key=lambda x: (-sum(x[1].values()), x[0]))[: limits.grams]
+        parts = [padded[at : at + n] for n in range(1, limits.longest + 1) for at in range(len(padded) - n + 1)]
+        for lang, times in by.items():
+            counter = found[lang]
+            for part in parts:
+                counter[part] += times
+    total = Counter()
+    for counter in found.values():
+        total.update(counter)
+    kept = sorted(total, key=lambda part: (-total[part], part))[: limits.grams]
+    return [(part, {lang: counter[part] for lang, counter in found.items() if part in counter}) for part in kept]
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", limits: Limits | None = None) -> Model:
