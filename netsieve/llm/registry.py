@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netsieve.llm import byte_bpe, language_id, poisson_mix, quality_bands, secret_ledger, simhash_trie, url_trie
+from netsieve.llm import byte_bpe, language_id, license_dice, pivot_search, poisson_mix, quality_bands, quote_links, secret_ledger, simhash_trie, url_trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,14 @@ def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.quality_report(_table(spark, sf_dir, "documents"))
 
 
+def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_links.reply_order(_table(spark, sf_dir, "conversations"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,20 +60,70 @@ def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return poisson_mix.replicate(_table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SEED, other=MIX_OTHER)
 
 
+def op10_license_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_dice.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_compression_bands,
+        op2_pivot_search,
+        op3_quote_links,
         op4_byte_bpe,
         op5_language_id,
         op6_secret_scan,
         op7_url_trie,
         op8_simhash_trie,
         op9_poisson_mix,
+        op10_license_dice,
     )
 }
 
+
+
+def _spans_sql() -> str:
+    """The matches of every rule with their places, from matches and the text between them."""
+    kinds = " UNION ALL ".join(
+        f"""SELECT r, {order} AS o, '{rule.kind}' AS kind, regexp_extract_all(t, $${rule.pattern}$$) AS found, regexp_extract_all(t, $${rule.pattern}$$, {rule.group}) AS held,
+            regexp_split_to_array(t, $${rule.pattern}$$) AS gaps, {rule.least} AS least FROM texts"""
+        for order, rule in enumerate(secret_ledger.RULES)
+    )
+    return f"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        matched AS ({kinds}),
+        each AS (SELECT r, o, kind, found, gaps, least, held, unnest(range(1, len(found) + 1)) AS k FROM matched),
+        placed AS (SELECT r, o, kind, length(held[k]) >= least AS fits, length(found[k]) AS n,
+                          coalesce(list_sum(list_transform(gaps[:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[:k - 1], lambda x: length(x))), 0) AS s FROM each),
+        spans AS (SELECT r, o, kind, s, kind || ':' || s::BIGINT || ':' || (s + n)::BIGINT AS span FROM placed WHERE fits)
+        SELECT any_value(doc_id) AS doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY s, o) FILTER (o < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY s, o), '') AS spans
+        FROM texts LEFT JOIN spans USING (r) GROUP BY r"""
+
+
+def _licenses_sql() -> str:
+    templates = ", ".join(f"('{name}', {k}, [{', '.join(f'$${b}$$' for b in license_dice.bigrams_of(notice))}])" for k, (name, notice) in enumerate(license_dice.TEMPLATES))
+    return f"""
+        WITH templates AS (SELECT * FROM (VALUES {templates}) AS v(license, k, b)),
+        texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        parts AS (SELECT r, unnest(list_concat(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[ \\t]*\\n')), [t])) AS p FROM texts),
+        units AS (SELECT DISTINCT r, trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS u FROM parts),
+        words AS (SELECT r, u, string_split(u, ' ') AS w FROM units WHERE u LIKE '% %'),
+        sets AS (SELECT r, u, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS a FROM words),
+        met AS (SELECT r, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets JOIN templates ON len(a) * 3 <= len(b) * 5 AND len(b) * 3 <= len(a) * 5),
+        best AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(max(dice), 9) AS best_dice, count(*) AS n FROM met WHERE dice >= 0.8 GROUP BY r)
+        SELECT doc_id, coalesce(licenses, '') AS licenses, best_dice, coalesce(n, 0) AS n_matches FROM texts LEFT JOIN best USING (r)"""
+
+
 ORACLES = {
+    "op2_pivot_search": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+                   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+        FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""",
+    "op6_secret_scan": _spans_sql(),
+    "op10_license_dice": _licenses_sql(),
     "op7_url_trie": r"""
         WITH cut AS (
             SELECT page_id, coalesce(regexp_matches(url, '(?s)://'), false) AS has,
