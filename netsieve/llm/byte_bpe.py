@@ -29,8 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Greatest number of entries of each memo; a full one is emptied.
-MEMO = 500_000
+#: Greatest number of entries of each memo (a full one is emptied), and bytes of text that are encoded at once.
+MEMO, SLICE = 200_000, 6 << 20
 
 
 class Memo(dict):
@@ -55,13 +55,17 @@ def runs(words: list[str]) -> Iterator[str]:
     yield " ".join(run)
 
 
+def vocabulary(ranks: bytes) -> dict[int, bytes]:
+    pairs = [line.split() for line in ranks.splitlines() if line.strip()]
+    return {int(rank): base64.b64decode(token) for token, rank in pairs}
+
+
 class Codec:
-    """The vocabulary of one rank file and the splitting pattern."""
+    """Encoding with the vocabulary of one rank file and the splitting pattern."""
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
-        pairs = [line.split() for line in ranks.splitlines() if line.strip()]
-        self.rank_of = {base64.b64decode(token): int(rank) for token, rank in pairs}
-        self.tokens = {rank: token for token, rank in self.rank_of.items()}
+        self.tokens = vocabulary(ranks)
+        self.rank_of = {token: rank for rank, token in self.tokens.items()}
         self.find = regex.compile(pattern).findall
         self.width = {rank: len(token) for token, rank in self.rank_of.items()}
         self.words, self.pieces = Memo(), Memo()
@@ -72,7 +76,6 @@ class Codec:
         self.longest.make_automaton()
         self.widest = max(map(len, self.rank_of))
         self.shorter = {rank: self._prefix(token) for rank, token in self.tokens.items()}
-        self.table = pa.array([self.tokens.get(rank) for rank in range(max(self.tokens) + 1)], pa.large_binary())
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for rank in sorted(self.tokens):
@@ -195,6 +198,14 @@ class Codec:
             index[first] = len(ids) - 1
         return spliced(pa.array(ids, pa.large_binary()), index, starts)
 
+
+class Decoder:
+    """Decoding, for which the tokens alone are enough."""
+
+    def __init__(self, ranks: bytes) -> None:
+        tokens = vocabulary(ranks)
+        self.table = pa.array([tokens.get(rank) for rank in range(max(tokens) + 1)], pa.large_binary())
+
     def decode(self, lists: pa.Array) -> pa.Array:
         lists = pc.fill_null(lists, [])
         starts = lists.offsets.to_numpy()
@@ -217,6 +228,15 @@ def spliced(parts: pa.Array, index: np.ndarray, starts: np.ndarray) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
 
 
+def slices(column: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of about SLICE bytes, so that memory doesn't follow Arrow's number of rows."""
+    rows = max(1, int(len(column) * SLICE / max(column.nbytes, 1)))
+    return (column.slice(at, rows) for at in range(0, len(column), rows))
+
+
+decoder = cache(Decoder)
+
+
 @cache
 def codec(ranks: bytes, pattern: str) -> Codec:
     """One codec for each vocabulary in a Python worker."""
@@ -247,17 +267,18 @@ class ByteBpe:
         def bpe_encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = codec(ranks.value, pattern)
             for texts in batches:
-                yield own.encode(texts)
+                parts = [own.encode(part) for part in slices(texts)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
         return bpe_encode(F.col(text) if isinstance(text, str) else text)
 
     def decode(self, ids: Column | str) -> Column:
         """The bytes (binary) that a list of ids stands for."""
-        ranks, pattern = self.ranks, self.pattern
+        ranks = self.ranks
 
         @F.arrow_udf("binary")
         def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            own = codec(ranks.value, pattern)
+            own = decoder(ranks.value)
             for lists in batches:
                 yield own.decode(lists)
 
