@@ -234,7 +234,9 @@ def slices(column: pa.Array) -> Iterator[pa.Array]:
     return (column.slice(at, rows) for at in range(0, len(column), rows))
 
 
-decoder = cache(Decoder)
+@cache
+def decoder(ranks: bytes) -> Decoder:
+    return Decoder(ranks)
 
 
 @cache
