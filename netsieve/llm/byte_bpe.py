@@ -29,18 +29,30 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Greatest number of entries of each memo (a full one is emptied), and bytes of text that are encoded at once.
-MEMO, SLICE = 200_000, 6 << 20
+#: Greatest number of entries of each half of a memo, and bytes that are encoded or decoded at once.
+MEMO, SLICE = 300_000, 6 << 20
 
 
-class Memo(dict):
-    """Ids by text; emptied when full, and closed to texts of over 64 characters."""
+class Memo:
+    """Ids by text, of texts of up to 64 characters: a young half and an old one, which goes when the young one is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        ids = self.young.get(text)
+        if ids is None:
+            ids = self.old.get(text)
+            if ids is not None:
+                self.keep(text, ids)
+        return ids
 
     def keep(self, text: str, ids: bytes) -> None:
         if len(text) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[text] = ids
+            if len(self.young) >= MEMO:
+                self.young, self.old = {}, self.young
+            self.young[text] = ids
 
 
 def runs(words: list[str]) -> Iterator[str]:
@@ -68,7 +80,7 @@ class Codec:
         self.rank_of = {token: rank for rank, token in self.tokens.items()}
         self.find = regex.compile(pattern).findall
         self.width = {rank: len(token) for token, rank in self.rank_of.items()}
-        self.words, self.pieces = Memo(), Memo()
+        self.pieces = Memo()
         self.neighbours: dict[int, bool] = {}
         self.longest = ahocorasick.Automaton()
         for token, rank in self.rank_of.items():
@@ -118,7 +130,7 @@ class Codec:
                 return True
 
     def _neighbours(self, left: int, right: int) -> bool:
-        if len(self.neighbours) >= MEMO:
+        if len(self.neighbours) >= 2 * MEMO:
             self.neighbours.clear()
         known = self.neighbours[left << 32 | right] = self._stay_apart(left, right)
         return known
@@ -153,23 +165,22 @@ class Codec:
                 token = self.shorter[token]
         return out
 
-    def _pieces(self, text: str) -> bytes:
-        """The ids of a text's pieces, each from the memo or merged."""
-        out = []
-        for piece in self.find(text):
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.young.get(piece)
+        if ids is None:
             ids = self.pieces.get(piece)
             if ids is None:
                 ids = array("i", self._merge(piece.encode())).tobytes()
                 self.pieces.keep(piece, ids)
-            out.append(ids)
-        return b"".join(out)
+        return ids
+
+    def _pieces(self, text: str) -> bytes:
+        """The ids of a text's pieces, each from the memo or merged."""
+        return b"".join(map(self._piece, self.find(text)))
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self._pieces(" " + word)
-            self.words.keep(word, ids)
-        return ids
+        """The ids of a space and a word; ASCII letters alone are one piece with it."""
+        return self._piece(" " + word) if word.isascii() and word.isalpha() else self._pieces(" " + word)
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text of a batch.
@@ -282,7 +293,8 @@ class ByteBpe:
         def bpe_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             own = decoder(ranks.value)
             for lists in batches:
-                yield own.decode(lists)
+                parts = [own.decode(part) for part in slices(lists)]
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
         return bpe_decode(F.col(ids) if isinstance(ids, str) else ids)
 
