@@ -139,7 +139,7 @@ def distance(a: Column | str, b: Column | str) -> Column:
 
 def scatter(rows: DataFrame, label: str, vector: str) -> DataFrame:
     """(label, size, centroid, inner): the mean distance of a class's rows to its centroid."""
-    centres = F.broadcast(centroids(rows, label, vector))
+    centres = centroids(rows, label, vector)
     return rows.join(centres, label).groupBy(label).agg(F.count("*").alias("size"), F.first("centroid").alias("centroid"), F.avg(distance(vector, "centroid")).alias("inner"))
 
 

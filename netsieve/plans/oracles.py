@@ -338,3 +338,26 @@ ORACLES["cl_flags"] = f"""
     p AS (SELECT vec_id, label, class, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM d), t AS (SELECT class, avg(p) AS t FROM p WHERE class = label GROUP BY 1),
     b AS (SELECT vec_id, label, arg_max(class, (p, -class)) FILTER (p >= t) AS best, max(p) FILTER (class = label) AS quality FROM p JOIN t USING (class) GROUP BY 1, 2)
     SELECT vec_id, label, coalesce(best, label) AS best, round(quality, 6) AS quality, (coalesce(best, label) <> label)::INT AS is_issue FROM b"""
+
+# Reports
+ORACLES["target_signal"] = f"""
+    WITH {_CELLS}, w AS (SELECT dataset, seed, (avg(acc) FILTER (exp = 'exp1') - avg(acc) FILTER (exp = 'exp3')) * 100 AS gap FROM c GROUP BY 1, 2)
+    SELECT dataset, count(gap) AS models, round(avg(gap), 4) AS mean_delta, count(*) FILTER (gap > 0) AS positive FROM w GROUP BY 1"""
+ORACLES["convergence"] = """
+    WITH e AS (SELECT event_type, user_id % 40 AS epoch, avg(value) AS loss FROM events GROUP BY 1, 2 HAVING avg(value) > 45),
+    v AS (SELECT epoch, loss AS a FROM e WHERE event_type = 'view'), c AS (SELECT epoch, loss AS b FROM e WHERE event_type = 'click')
+    SELECT epoch, round(a, 4) AS a, round(b, 4) AS b, round(a - b, 4) AS gap FROM v FULL JOIN c USING (epoch)"""
+ORACLES["last_epoch"] = "SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1"
+ORACLES["boundary"] = f"""
+    WITH {_CELLS}, w AS (SELECT dataset, seed, avg(acc) FILTER (exp = 'exp1') / 1000 AS exp1, avg(acc) FILTER (exp = 'exp3') / 1000 AS exp3 FROM c GROUP BY 1, 2)
+    SELECT dataset, seed, round(exp1, 6) AS exp1, round(exp3, 6) AS exp3, round(exp1 - exp3, 6) AS gap,
+        CASE WHEN exp1 - exp3 > 0.02 THEN 'collapse' WHEN exp1 - exp3 < 0 THEN 'reversed' ELSE 'none' END AS verdict FROM w"""
+ORACLES["importance_shift"] = """
+    WITH s AS (SELECT p_type, coalesce(sum(p_retailprice) FILTER (p_partkey % 3 <> 0), 0) AS a, coalesce(sum(p_retailprice) FILTER (p_partkey % 3 <> 1), 0) AS b FROM part GROUP BY 1),
+    r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb, regexp_matches(p_type, '^(ECONOMY|PROMO)') AS m FROM s),
+    t AS (SELECT corr(ra, rb) AS spearman, coalesce(sum(a) FILTER (m), 0) / sum(a) * 100 AS x, coalesce(sum(b) FILTER (m), 0) / sum(b) * 100 AS y FROM r)
+    SELECT round(spearman, 4) AS spearman, round(x, 4) AS mass_a, round(y, 4) AS mass_b, round(y - x, 4) AS shift, CASE WHEN y < x THEN 'reversed' WHEN y - x > 5 THEN 'strong' ELSE 'weak' END AS verdict FROM t"""
+ORACLES["claim_comparison"] = f"""
+    WITH {_CELLS}, g AS (SELECT dataset, count(*) AS cells, avg(acc) AS a, avg(acc - seed) AS b FROM c WHERE seed BETWEEN 1 AND 3 GROUP BY 1)
+    SELECT dataset, cells, round(a, 4) AS a, round(b, 4) AS b, CASE WHEN abs(a) > abs(b) THEN 'a' WHEN abs(a) < abs(b) THEN 'b' ELSE 'equal' END AS stronger FROM g"""
+ORACLES["class_distribution"] = "SELECT lang, count(*) AS origin, count(*) FILTER (n_chars > 1000) AS refined, count(*) FILTER (source = 'src1') AS sampled FROM documents GROUP BY 1"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from netsieve.functions import exprs
-from netsieve.operators import analytics, bytesops, features, labels, lists, models, rules, sessions
+from netsieve.operators import analytics, bytesops, features, labels, lists, models, reports, rules, sessions
 from netsieve.plans.adapters import markable, packets, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -507,6 +507,52 @@ def reservoir_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("a", F.lit(1)).join(other.withColumn("b", F.lit(1)), "doc_id", "full").agg(F.count("*").alias("n"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("differ"))
 
 
+@query
+def target_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = analytics.result_pivot(_results(spark, sf_dir), ["dataset", "seed"], "exp", "acc", ["exp1", "exp3"])
+    return _round(reports.target_signal(wide, ["dataset"]), "mean_delta")
+
+
+def _epochs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    return e.groupBy((F.col("user_id") % 40).alias("epoch")).agg(F.avg("value").alias("loss")).where("loss > 45")
+
+
+@query
+def convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(reports.convergence(_epochs(spark, sf_dir, "view"), _epochs(spark, sf_dir, "click"), "epoch", "loss"), "a", "b", "gap")
+
+
+@query
+def last_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.last_epoch(table(spark, sf_dir, "events"), ["user_id"], "event_id", "value")
+
+
+@query
+def boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _results(spark, sf_dir).withColumn("acc", F.col("acc") / 1000)
+    return _round(reports.boundary(scores, ["dataset", "seed"], "exp", "acc"), "exp1", "exp3", "gap", digits=6)
+
+
+@query
+def importance_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    side = lambda k: p.where(F.col("p_partkey") % 3 != k).groupBy("p_type").agg(F.sum("p_retailprice").alias("v"))
+    return _round(reports.importance_shift(side(0), side(1), "p_type", "v", "^(ECONOMY|PROMO)"), "spearman", "mass_a", "mass_b", "shift")
+
+
+@query
+def claim_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _results(spark, sf_dir).withColumn("key", F.concat_ws("_", "dataset", "seed", "exp"))
+    return _round(reports.claims(r.where("seed < 4"), r.where("seed > 0").withColumn("acc", F.col("acc") - F.col("seed")), ["key", "dataset"], ["dataset"], "acc"), "a", "b")
+
+
+@query
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    return reports.zero_filled(d, {"refined": d.where("n_chars > 1000"), "sampled": d.where("source = 'src1'")}, "lang")
+
+
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions, rules and refinement counts in one plan."""

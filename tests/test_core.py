@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from netsieve.functions import exprs
 from netsieve.operators import bytesops, features, labels, lists, models, rules, sessions
 from netsieve.schemas import FIELDS, SESSION_COLUMNS
-from netsieve.sources import pcap, text
+from netsieve.sources import pcap, pdml, text
 from netsieve.streaming import ingest
 
 CASES = [
@@ -212,3 +212,10 @@ def test_streaming(spark, tmp_path):
         ingest.drain(stream, f"{tmp_path}/out", f"{tmp_path}/check")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
     assert sorted((r.n, r.total) for r in ingest.gap_sessions(rows, "u", "t", "v").collect()) == [(1, 4.0), (2, 3.0)]
+
+
+def test_pdml(spark, tmp_path):
+    (tmp_path / "d.pdml").write_text('<pdml><packet><proto name="ip" pos="0" size="4"><field name="ip.len" pos="1" size="2"/></proto></packet><packet><proto name="x" pos="0" size="1"/></packet><packet>')
+    rows = pdml.read(spark, f"file://{tmp_path}/d.pdml")
+    assert sorted((r.frame, r.pos, r.field) for r in rows.collect()) == [(1, 0, "ip"), (1, 1, "ip.len"), (1, 2, "ip.len"), (1, 3, "ip"), (2, 0, "x")]
+    assert {r.field: r.field_id for r in pdml.vocabulary(rows).collect()} == {"<pad>": 0, "ip": 1, "ip.len": 2, "x": 3}
