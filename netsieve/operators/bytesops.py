@@ -78,3 +78,19 @@ def bigram_stream(packets: Column, n: int, raw: str = "raw", separator: str = "[
     """For each of the first packets a separator and ``each`` bigrams, as one array of at most n tokens."""
     rows = F.transform(F.slice(packets, 1, most), lambda p: F.concat(F.array(F.lit(separator)), bigrams(p[raw], each)))
     return F.slice(F.flatten(rows), 1, n)
+
+
+def randomised(text: Column, spans: list[tuple[int, int]], *identity: Column) -> Column:
+    """Hex text with the bytes of each span replaced by ones drawn from the session's identity.
+
+    A session's copies of an identifier are replaced alike, other sessions' are
+    not; spans beyond the end are cut, and lengths stay as they are.
+    """
+    seed = F.crc32(F.concat_ws("|", *identity)).cast("string")
+    for start, end in spans:
+        total = (F.length(text) / 2).cast("int")
+        a, b = F.least(F.lit(start), total), F.least(F.lit(end), total)
+        old = F.substr(text, a * 2 + 1, (b - a) * 2)
+        drawn = F.repeat(F.md5(F.concat_ws("|", seed, old)), F.lit((end - start) // 16 + 1))
+        text = F.concat(F.substr(text, F.lit(1), a * 2), F.substr(drawn, F.lit(1), (b - a) * 2), F.substr(text, b * 2 + 1))
+    return text

@@ -112,3 +112,9 @@ def validation(rows: DataFrame, group: str, share: float, least: int, seed: int,
     rank = F.row_number().over(w.orderBy(order_key(seed, *identity), *identity))
     chosen = (n >= least) & (rank <= F.greatest(F.lit(1), F.bround(n * share).cast("long")))
     return rows.withColumn("is_validation", chosen.cast("int"))
+
+
+def renumber(rows: DataFrame, group: str, name: str) -> DataFrame:
+    """rows with ``new_name``: <class>_<i>, i from 1 in the natural order of the names of each class."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(natural_key(F.col(name)), name))
+    return rows.withColumn("new_name", F.concat_ws("_", group, place.cast("string")))

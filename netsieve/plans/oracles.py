@@ -361,3 +361,30 @@ ORACLES["claim_comparison"] = f"""
     WITH {_CELLS}, g AS (SELECT dataset, count(*) AS cells, avg(acc) AS a, avg(acc - seed) AS b FROM c WHERE seed BETWEEN 1 AND 3 GROUP BY 1)
     SELECT dataset, cells, round(a, 4) AS a, round(b, 4) AS b, CASE WHEN abs(a) > abs(b) THEN 'a' WHEN abs(a) < abs(b) THEN 'b' ELSE 'equal' END AS stronger FROM g"""
 ORACLES["class_distribution"] = "SELECT lang, count(*) AS origin, count(*) FILTER (n_chars > 1000) AS refined, count(*) FILTER (source = 'src1') AS sampled FROM documents GROUP BY 1"
+
+# The accumulator on made packets: a stream's client is the far end once any packet opens it, else the first source.
+ORACLES["wire_sessions"] = """
+    WITH q AS (SELECT event_id AS n, user_id % 40 AS st, 'Malware_DoS_x_' || (user_id % 3) || '.pcap' AS filename, event_id % 2 = 0 AS out, trunc(value)::BIGINT AS v FROM events),
+    k AS (SELECT *, CASE WHEN st % 4 = 0 THEN 'udp' ELSE 'tcp' END AS proto, CASE WHEN st % 4 = 0 THEN greatest(v % 100 - 8, 0) ELSE v END AS len FROM q),
+    f AS (SELECT filename, st, CASE WHEN bool_or(n % 11 = 0) THEN false ELSE arg_min(out, n) END AS c FROM k GROUP BY 1, 2),
+    s AS (SELECT filename, st, any_value(proto) AS proto, any_value(c) AS c, count(*) AS pkt_count, sum(len)::BIGINT AS payload_size, count(*) FILTER (out = c) AS fwd_pkt, coalesce(sum(len) FILTER (out = c), 0)::BIGINT AS fwd_byte,
+        count(*) FILTER (out <> c) AS bwd_pkt, coalesce(sum(len) FILTER (out <> c), 0)::BIGINT AS bwd_byte, min(n) AS a, max(n) AS z,
+        bool_or(n % 11 = 0 AND n % 22 <> 0)::INT AS has_SYN, bool_or(n % 22 = 0)::INT AS has_SYN_ACK, bool_or(n % 13 = 0 AND out = c)::INT AS has_FIN_cli, bool_or(n % 13 = 0 AND out <> c)::INT AS has_FIN_serv,
+        bool_or(n % 17 = 0)::INT AS has_RST, bool_or(n % 5 = 0)::INT AS has_TLS_CHLO, bool_or(n % 7 = 0 AND n % 5 <> 0)::INT AS has_TLS_SHLO,
+        coalesce('/a?q=%3Cscript%3E' || min(n) FILTER (n % 9 = 0), '-') AS http_susp_uri FROM k JOIN f USING (filename, st) GROUP BY 1, 2),
+    i AS (SELECT filename, st, 'tcp dup ack ' || (n % 30) AS info, min(n) AS o FROM k WHERE n % 6 = 0 GROUP BY 1, 2, 3),
+    j AS (SELECT *, sum(length(info)) OVER (PARTITION BY filename, st ORDER BY o ROWS UNBOUNDED PRECEDING) - length(info) AS before FROM i),
+    w AS (SELECT filename, st, string_agg(info, ' || ' ORDER BY o) AS info FROM j WHERE before < 1000 GROUP BY 1, 2)
+    SELECT filename, proto || '_' || st AS session_id, 'x' AS task3, proto AS "L4", CASE proto WHEN 'udp' THEN 'dns' ELSE 'tls' END AS "L7",
+        CASE WHEN c THEN '10.0.0.' ELSE '10.1.0.' END || st AS src_ip, CASE WHEN c THEN '10.1.0.' ELSE '10.0.0.' END || st AS dst_ip, CASE WHEN c THEN '443' ELSE '50000' END AS dst_port,
+        pkt_count, payload_size, fwd_pkt, fwd_byte, bwd_pkt, bwd_byte, a || '.' || lpad((a % 1000)::VARCHAR, 6, '0') AS ts_first, z || '.' || lpad((z % 1000)::VARCHAR, 6, '0') AS ts_last,
+        has_SYN, has_SYN_ACK, has_FIN_cli, has_FIN_serv, has_RST, has_TLS_CHLO, has_TLS_SHLO, http_susp_uri, coalesce(info, '-') AS ws_col_info FROM s LEFT JOIN w USING (filename, st)"""
+ORACLES["class_renumber"] = "SELECT lang, 'f' || doc_id || '.pcap' AS name, lang || '_' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS new_name FROM documents"
+ORACLES["randomise_identifiers"] = f"""
+    WITH {_HEX}, k AS (SELECT doc_id, raw, 'f|' || doc_id AS k, {_crc_table()} AS t FROM h), c AS (SELECT doc_id, raw, {_CRC}::VARCHAR AS seed FROM k),
+    a AS (SELECT doc_id, seed, substr(raw, 1, 24) || substr(md5(seed || '|' || substr(raw, 25, 16)), 1, length(substr(raw, 25, 16))) || substr(raw, 41) AS raw FROM c)
+    SELECT doc_id, md5(substr(md5(seed || '|' || substr(raw, 1, 4)), 1, length(substr(raw, 1, 4))) || substr(raw, 5)) AS raw FROM a"""
+ORACLES["gap_sessions"] = f"""
+    WITH {P}, g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 21600000000, true)::INT AS new FROM p),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(us) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from netsieve.functions import exprs
 from netsieve.operators import analytics, bytesops, features, labels, lists, models, reports, rules, sessions
 from netsieve.plans.adapters import markable, packets, table
+from netsieve.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SESSION = ["user_id", "day"]
@@ -553,6 +554,25 @@ def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.zero_filled(d, {"refined": d.where("n_chars > 1000"), "sampled": d.where("source = 'src1'")}, "lang")
 
 
+@query
+def class_renumber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir).select("lang", F.concat(F.lit("f"), F.col("doc_id"), F.lit(".pcap")).alias("name"))
+    return lists.renumber(d, "lang", "name")
+
+
+@query
+def randomise_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = bytesops.randomised(F.col("raw"), [(12, 20), (0, 2)], F.lit("f"), F.col("doc_id").cast("string"))
+    return _hex(spark, sf_dir).select("doc_id", F.md5(new).alias("raw"))
+
+
+@query
+def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "value")
+    out = ingest.gap_sessions(e, "user_id", "ts", "value", gap="6 hours")
+    return _round(out.select("user_id", F.unix_micros("start").alias("start_us"), "n", "total"), "total")
+
+
 @query
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions, rules and refinement counts in one plan."""
