@@ -29,8 +29,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsieve.llm.shared import text_batches
+
 #: Greatest number of entries of each half of a memo, and bytes that are encoded or decoded at once.
-MEMO, SLICE = 300_000, 6 << 20
+MEMO, SLICE = 200_000, 6 << 20
 
 
 class Memo:
@@ -266,6 +268,7 @@ class ByteBpe:
     LARGEST = 16 << 20
 
     def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
+        text_batches(spark)
         with open(ranks_path, "rb") as file:
             ranks = file.read(self.LARGEST + 1)
         if len(ranks) > self.LARGEST:

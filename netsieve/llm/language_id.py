@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsieve.llm.shared import text_batches
+
 WORD = r"[^\W\d_]+"
 
 
@@ -182,6 +184,7 @@ def predict(text: Column | str, model: Model, spark: SparkSession, limits: Limit
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limits: Limits | None = None) -> DataFrame:
     """(id, held_out, lang_pred, score): a model fitted on the rows that are not held out, applied to all."""
+    text_batches(docs.sparkSession)
     model = fit(docs.where(~held_out(id_col)), lang_col, text_col, id_col, limits)
     found = predict(text_col, model, docs.sparkSession, limits).alias("_found")
     return docs.select(F.col(id_col), held_out(id_col).alias("held_out"), found).select(id_col, "held_out", "_found.*")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netsieve.llm.shared import Tables
+from netsieve.llm.shared import Tables, text_batches
 
 MARKS = re.compile(r"[ \t]*>[> \t]*")
 BLANK = re.compile(r"\s+")
@@ -125,6 +125,7 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     Conversations read in reply order when sorted by root_conv, root_turn,
     conv, turn: every message follows the one that it replies to.
     """
+    text_batches(messages.sparkSession)
     tables = Tables(messages.sparkSession, "quotes")
     rows = messages.select(F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn")).alias("key"), F.col(role_col).alias("role"), parsed(text_col).alias("p"))
     rows = tables.write(rows.select("key", "role", F.col("p.own").alias("text"), F.col("p.said").alias("said"), F.col("p.quoted").alias("quoted")), "parsed")

@@ -30,6 +30,10 @@ class Tables:
     def __init__(self, spark: SparkSession, prefix: str) -> None:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)  # the tables serve this application alone
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         where = f"{self.path}/{name}"
@@ -44,3 +48,18 @@ class Tables:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a batch that Spark hands to Python at once, for columns of texts.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches to TEXT_ROWS rows.
+
+    Spark counts a batch in rows; the default of 10,000 documents, their words
+    and results would all be in a Python worker at once. A lower setting stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from netsieve.llm.components import connected_components
-from netsieve.llm.shared import Tables, partitions
+from netsieve.llm.shared import Tables, partitions, text_batches
 
 #: Shingles whose bits are counted at once, rows of fingerprints that one pass of the trie takes, pairs of nodes walked down at once, and pairs of leaves compared directly.
 SLICE, CHUNK, FRONT, LEAF = 1 << 15, 1 << 17, 1 << 19, 32
@@ -227,6 +227,7 @@ def _redealt(spark: SparkSession, buckets: DataFrame, scheme: Scheme, chosen: li
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
     """(id, print long, component_id): component_id is the smallest id reachable over fingerprints within the budget."""
     scheme, spark = scheme or Scheme(), docs.sparkSession
+    text_batches(spark)
     tables = Tables(spark, "simhash")
     rows = tables.write(docs.select(F.col(id_col).alias("id"), simhash(text_col, scheme).alias("print")), "prints")
     different = tables.write(rows.groupBy("print").agg(F.min("id").alias("least")), "different")
