@@ -50,7 +50,8 @@ def label_map(names: DataFrame, name: str, old: DataFrame | None = None) -> Data
     labels = names.select(F.col(name).alias("label")).where("label IS NOT NULL").distinct()
     if old is not None:
         labels = labels.join(old, "label", "left_anti")
-    start = 0 if old is None else (old.agg(F.max("id")).first()[0] or -1) + 1
+    last = None if old is None else old.agg(F.max("id")).first()[0]
+    start = 0 if last is None else last + 1
     # a label map has one row a class: it is small by nature, and sorted as a whole
     fresh = labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1 + F.lit(start)).alias("id"))
     return fresh if old is None else old.select("label", F.col("id").cast("int")).unionByName(fresh)

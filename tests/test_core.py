@@ -133,6 +133,10 @@ def test_lists(spark):
     assert len(one) == 15 and one == {r.id for r in lists.top_per_class(d.repartition(7), "g", 5, 1, "id").collect()}
     old = lists.label_map(d.where("g > 0"), "g")
     assert {r.label: r.id for r in lists.label_map(d, "g", old).collect()} == {1: 0, 2: 1, 0: 2}
+    single = lists.label_map(d.where("g = 1"), "g")
+    assert {r.label: r.id for r in lists.label_map(d, "g", single).collect()} == {1: 0, 0: 1, 2: 2}
+    names = lists.renumber(spark.createDataFrame([("a", "f10"), ("a", "f9")], "g string, n string"), "g", "n")
+    assert {r.n: r.new_name for r in names.collect()} == {"f9": "a_1", "f10": "a_2"}
 
 
 def test_features(spark):
