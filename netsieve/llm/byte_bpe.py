@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from netsieve.llm.shared import text_batches
 
 #: Greatest number of entries of each half of a memo, and bytes that are encoded or decoded at once.
-MEMO, SLICE = 200_000, 6 << 20
+MEMO, SLICE = 200_000, 4 << 20
 
 
 class Memo:
@@ -132,7 +132,7 @@ class Codec:
                 return True
 
     def _neighbours(self, left: int, right: int) -> bool:
-        if len(self.neighbours) >= 2 * MEMO:
+        if len(self.neighbours) >= MEMO:
             self.neighbours.clear()
         known = self.neighbours[left << 32 | right] = self._stay_apart(left, right)
         return known
@@ -288,6 +288,20 @@ class ByteBpe:
 
         return bpe_encode(F.col(text) if isinstance(text, str) else text)
 
+    def round_trip(self, text: Column | str) -> Column:
+        """struct<ids, packed, decoded> of a text column: one Python worker does all three, slice by slice."""
+        ranks, pattern = self.ranks, self.pattern
+
+        @F.arrow_udf("ids array<int>, packed binary, decoded binary")
+        def bpe_round_trip(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own, back = codec(ranks.value, pattern), decoder(ranks.value)
+            for texts in batches:
+                parts = [(ids, pack(ids), back.decode(ids)) for ids in map(own.encode, slices(texts))]
+                columns = [pa.concat_arrays(x) for x in zip(*parts, strict=True)] or [pa.array([], t) for t in (pa.list_(pa.int32()), pa.binary(), pa.binary())]
+                yield pa.StructArray.from_arrays(columns, ["ids", "packed", "decoded"])
+
+        return bpe_round_trip(F.col(text) if isinstance(text, str) else text)
+
     def decode(self, ids: Column | str) -> Column:
         """The bytes (binary) that a list of ids stands for."""
         ranks = self.ranks
@@ -302,24 +316,28 @@ class ByteBpe:
         return bpe_decode(F.col(ids) if isinstance(ids, str) else ids)
 
 
+def pack(lists: pa.Array) -> pa.Array:
+    """Each list of ids as little-endian unsigned 32-bit integers, as token files hold them."""
+    lists = pc.fill_null(lists, [])
+    starts = lists.offsets.to_numpy().astype(np.int64)
+    ids = lists.flatten().to_numpy().astype("<u4").tobytes()
+    ends = pa.py_buffer((starts - starts[0]) * 4)
+    return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, ends, pa.py_buffer(ids)]).cast(pa.binary())
+
+
 def packed(ids: Column | str) -> Column:
-    """Ids as little-endian unsigned 32-bit integers (binary), as token files hold them."""
+    """pack as a column."""
 
     @F.arrow_udf("binary")
     def pack_ids(lists: pa.Array) -> pa.Array:
-        lists = pc.fill_null(lists, [])
-        starts = lists.offsets.to_numpy().astype(np.int64)
-        ids = lists.flatten().to_numpy().astype("<u4").tobytes()
-        ends = pa.py_buffer((starts - starts[0]) * 4)
-        return pa.Array.from_buffers(pa.large_binary(), len(lists), [None, ends, pa.py_buffer(ids)]).cast(pa.binary())
+        return pack(lists)
 
     return pack_ids(F.col(ids) if isinstance(ids, str) else ids)
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, ``ids`` (array<int>), ``packed`` and ``decoded`` (binary)."""
-    ids = docs.select(F.col(id_col), bpe.encode(text_col).alias("ids"))
-    return ids.select(id_col, "ids", packed("ids").alias("packed"), bpe.decode("ids").alias("decoded"))
+    return docs.select(F.col(id_col), bpe.round_trip(text_col).alias("_encoded")).select(id_col, "_encoded.*")
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:

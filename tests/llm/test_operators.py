@@ -434,3 +434,12 @@ def test_licenses(spark):
     assert license_dice.scan_licenses(empty(spark)).count() == 0
     none = license_dice.scan_licenses(docs, templates=())
     assert {r.licenses for r in none.collect()} == {""}
+
+
+def test_bpe_columns(spark):
+    """The separate columns say the same as the round trip."""
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = documents(spark, [(1, "some text, twice"), (2, None), (3, "é  x\n")])
+    ids = docs.select("doc_id", bpe.encode("text").alias("ids"))
+    apart = ids.select("doc_id", "ids", byte_bpe.packed("ids").alias("packed"), bpe.decode("ids").alias("decoded"))
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, byte_bpe.encode_documents(docs, bpe).collect()))
