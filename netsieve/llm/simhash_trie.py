@@ -157,7 +157,7 @@ class Forest:
 
 
 def _bucket_edges(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
-    """Edges from the rows (mask, value, print), sorted so; whole buckets are gathered up to CHUNK rows, a larger one alone."""
+    """Edges from the rows (mask, value, print), sorted so with print as unsigned; whole buckets are gathered up to CHUNK rows, a larger one alone."""
 
     def edges(columns: list[np.ndarray]) -> pa.RecordBatch:
         mask, value, prints = columns
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     budget = scheme.budget
     edges = (
         buckets.repartition(partitions(spark), "mask", "value")
-        .sortWithinPartitions("mask", "value", "print")
+        .sortWithinPartitions("mask", "value", F.col("print").bitwiseXOR(F.lit(-(1 << 63))))  # as unsigned, the order of a trie
         .mapInArrow(lambda batches: _bucket_edges(batches, budget), "a long, b long")
     )
     roots = connected_components(edges, tables).withColumnRenamed("node", "print")

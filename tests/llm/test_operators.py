@@ -366,6 +366,25 @@ def test_forest(bits):
     assert (simhash_trie.Forest(np.zeros(len(prints), int), prints, 4).components() == want).all()
 
 
+def test_simhash_signs(spark, monkeypatch):
+    """Prints of both signs, in buckets too large to be compared directly, with pairs that differ in the top block."""
+    rng = np.random.default_rng(5)
+    first = rng.integers(0, 2**64, 1500, dtype=np.uint64) & ~np.uint64(0xFFC)  # the lowest block has four values: pairs meet there alone
+    bits = [np.uint64(1) << rng.integers(a, b, len(first), dtype=np.uint64) for a, b in ((12, 25), (25, 38), (38, 51), (51, 64))]
+    bits[3][::2] = np.uint64(1 << 63)
+    prints = np.unique(np.concatenate([first, first ^ np.bitwise_or.reduce(bits)]))
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    want = np.arange(len(prints))
+    while (new := np.array([want[row].min() for row in near])).tolist() != want.tolist():
+        want = new
+    assert len(prints) == 3000 and len(set(want.tolist())) == 1500
+    monkeypatch.setattr(simhash_trie, "simhash", lambda text, scheme: F.col(text).cast("long"))
+    docs = documents(spark, [(k, str(x)) for k, x in enumerate(prints.view(np.int64).tolist())])
+    for scheme in (simhash_trie.Scheme(), simhash_trie.Scheme(bucket=500)):
+        got = {r.doc_id: r.component_id for r in simhash_trie.near_duplicates(docs, scheme=scheme).collect()}
+        assert got == dict(enumerate(want.tolist()))
+
+
 # 9
 
 
