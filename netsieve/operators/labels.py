@@ -46,7 +46,8 @@ def interval_labels(sessions: DataFrame, flows: DataFrame, key: list[str], sessi
     Flows within [first - tolerance, last + tolerance] (or ``twin`` later, for a
     clock without AM and PM) decide; two different labels there are 'double',
     and of one label the most frequent that isn't benign counts. With no flow
-    inside, the nearest one's label holds; with none of the key, 'unlabeled'.
+    inside, the nearest one's label holds; with none of the key, 'unlabeled'. A
+    session without a first or last time is 'damaged', whatever its flows.
 
     The join is an equality on the key, whose matches are reduced to one row a
     session by partial aggregates: label sets and a nearest minimum, no lists.
@@ -63,8 +64,9 @@ def interval_labels(sessions: DataFrame, flows: DataFrame, key: list[str], sessi
         F.coalesce(F.max(F.when(within != benign, within)), F.max(within)).alias("only"),
         F.min_by("label", F.struct(away.alias("d"), F.col("t"), F.col("label"))).alias("nearest"),
         F.count("t").alias("flows"),
+        F.bool_or(F.col("t0").isNull() | F.col("t1").isNull()).alias("damaged"),
     )
-    how = F.when(F.col("flows") == 0, "unlabeled").when(F.col("n") > 1, "double").when(F.col("n") == 1, "inside").otherwise("nearest")
+    how = F.when(F.col("damaged"), "damaged").when(F.col("flows") == 0, "unlabeled").when(F.col("n") > 1, "double").when(F.col("n") == 1, "inside").otherwise("nearest")
     chosen = F.when(how == "inside", F.col("only")).when(how == "nearest", F.col("nearest")).otherwise(how)
     return found.select(session_id, chosen.alias("label"), how.alias("how"))
 

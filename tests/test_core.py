@@ -118,6 +118,13 @@ def test_labels(spark):
     assert [r[0] for r in one.select(labels.triple(F.col("l"), labels.FLOW_LABELS)).collect()] == ["Malware/DoS/Hulk", "Malware/New-Thing/New-Thing"]
 
 
+def test_damaged_labels(spark):
+    s = spark.createDataFrame([(1, "k", None, 110.0), (2, "k", 100.0, None), (3, "none", None, None), (4, "k", 100.0, 110.0)], "sid long, key string, a double, b double")
+    f = spark.createDataFrame([("k", 105.0, "DoS"), ("k", 9000.0, "far")], "key string, t double, label string")
+    got = {r.sid: (r.label, r.how) for r in labels.interval_labels(s, f, ["key"], "sid", "a", "b", "t", "label", "BENIGN").collect()}
+    assert got == {1: ("damaged", "damaged"), 2: ("damaged", "damaged"), 3: ("damaged", "damaged"), 4: ("DoS", "inside")}
+
+
 def test_lists(spark):
     copies = spark.createDataFrame([("k", "f10", "tcp_1"), ("k", "f2", "tcp_1")], "key string, filename string, session_id string")
     listed = spark.createDataFrame([("k", "b1", "tcp_9"), ("k", "b2", "tcp_9"), ("k", "b3", "tcp_9"), ("z", "c", "-")], "key string, filename string, session_id string")
