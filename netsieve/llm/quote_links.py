@@ -6,7 +6,12 @@ blanks) and hashed. What a message says itself, whole and by paragraph and
 line, is hashed the same way, but only hashes that are quoted somewhere travel.
 A quoted passage belongs to the first message of its own conversation that said
 it, if that is an earlier turn, or else to the first message of all that said
-it, if that comes earlier by (conversation, turn). A message replies to the
+it, if that comes earlier by (conversation, turn). A passage that links to none
+as a whole is looked for, by the same rule, among the runs of consecutive lines
+and sentences of what messages say: their words are hashed from any start of a
+line or sentence to any end of one, for the numbers of words that such passages
+have. A quote that leaves out lines between others, or cuts a sentence, links
+to none. A message replies to the
 message that its first linked passage of the lowest level came from. Links only
 lead to smaller (conversation, turn), so there are no rings; roots and depths
 come from pointer jumping, which doubles the hops in each round.
@@ -36,15 +41,16 @@ from netsieve.llm.shared import Tables, text_batches
 
 MARKS = re.compile(r"[ \t]*>[> \t]*")
 BLANK = re.compile(r"\s+")
+END = re.compile(r"[.!?…][\"'”’)\]]*$")
 
 PARSED = pa.struct(
     [
         ("own", pa.string()),
         ("said", pa.list_(pa.binary())),
-        ("quoted", pa.list_(pa.struct([("level", pa.int32()), ("at", pa.int32()), ("hash", pa.binary())]))),
+        ("quoted", pa.list_(pa.struct([("level", pa.int32()), ("at", pa.int32()), ("words", pa.int32()), ("hash", pa.binary())]))),
     ]
 )
-PARSED_DDL = "own string, said array<binary>, quoted array<struct<level: int, at: int, hash: binary>>"
+PARSED_DDL = "own string, said array<binary>, quoted array<struct<level: int, at: int, words: int, hash: binary>>"
 
 
 def level_of(line: str) -> tuple[int, str]:
@@ -88,7 +94,7 @@ def parse(text: str | None) -> dict:
     return {
         "own": "\n".join(own).strip("\n"),
         "said": sorted({h for u in units if (h := hashed(u))}),
-        "quoted": [{"level": level, "at": k, "hash": hashed(p)} for k, (level, p) in enumerate(quoted)],
+        "quoted": [{"level": level, "at": k, "words": len(p.split()), "hash": hashed(p)} for k, (level, p) in enumerate(quoted)],
     }
 
 
@@ -101,6 +107,39 @@ def parsed(text: Column | str) -> Column:
     return quotes(F.col(text) if isinstance(text, str) else text)
 
 
+def runs_of(text: str | None, lengths: frozenset[int]) -> list[bytes]:
+    """The hashes of all runs of consecutive lines and sentences that have one of the given numbers of words."""
+    words: list[str] = []
+    starts = {0}
+    for line in (text or "").split("\n"):
+        for word in line.split():
+            words.append(word)
+            if END.search(word):
+                starts.add(len(words))
+        starts.add(len(words))
+    return sorted({hashed(" ".join(words[a : a + n])) for a in starts for n in lengths if a + n in starts})
+
+
+def said_runs(text: Column | str, lengths: frozenset[int]) -> Column:
+    @F.arrow_udf("array<binary>")
+    def runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([runs_of(t.as_py(), lengths) for t in texts], pa.list_(pa.binary()))
+
+    return runs(F.col(text) if isinstance(text, str) else text)
+
+
+def _sayers(quoted: DataFrame, said: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """quoted with the message that each passage came from, up. said: (key, hash)."""
+    wanted = tables.write(quoted.select("hash").distinct(), f"wanted_{name}")
+    said = tables.write(said.join(wanted, "hash", "left_semi"), f"said_{name}")
+    near = tables.write(said.groupBy(F.col("key.conv").alias("conv"), "hash").agg(F.min("key.turn").alias("turn")), f"near_{name}")
+    far = tables.write(said.groupBy("hash").agg(F.min("key").alias("far")), f"far_{name}")
+    places = quoted.withColumn("conv", F.col("key.conv")).join(near, ["conv", "hash"], "left").join(far, "hash", "left")
+    up = F.when(F.col("turn") < F.col("key.turn"), F.struct("conv", "turn")).when(F.col("far") < F.col("key"), F.col("far"))
+    return tables.write(places.select("key", "level", "at", "words", "hash", up.alias("up")), f"places_{name}")
+
+
 def _roots(links: DataFrame, tables: Tables) -> DataFrame:
     """(key, root, depth) for each linked message. links: (key, up), up < key, one row for each key."""
     now = tables.write(links.select("key", F.col("up").alias("root"), F.lit(1).cast("long").alias("depth")), "hops_0")
@@ -130,14 +169,13 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     rows = messages.select(F.struct(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn")).alias("key"), F.col(role_col).alias("role"), parsed(text_col).alias("p"))
     rows = tables.write(rows.select("key", "role", F.col("p.own").alias("text"), F.col("p.said").alias("said"), F.col("p.quoted").alias("quoted")), "parsed")
     whole = F.col("key.conv").isNotNull() & F.col("key.turn").isNotNull()
-    quoted = tables.write(rows.where(whole).select("key", F.explode("quoted").alias("q")).select("key", "q.level", "q.at", "q.hash"), "quoted")
-    wanted = tables.write(quoted.select("hash").distinct(), "wanted")
-    said = tables.write(rows.where(whole).select("key", F.explode("said").alias("hash")).join(wanted, "hash", "left_semi"), "said")
-    near = tables.write(said.groupBy(F.col("key.conv").alias("conv"), "hash").agg(F.min("key.turn").alias("turn")), "near")
-    far = tables.write(said.groupBy("hash").agg(F.min("key").alias("far")), "far")
-    places = quoted.withColumn("conv", F.col("key.conv")).join(near, ["conv", "hash"], "left").join(far, "hash", "left")
-    up = F.when(F.col("turn") < F.col("key.turn"), F.struct("conv", "turn")).when(F.col("far") < F.col("key"), F.col("far"))
-    linked = tables.write(places.select("key", "level", "at", up.alias("up")), "places")
+    quoted = tables.write(rows.where(whole).select("key", F.explode("quoted").alias("q")).select("key", "q.level", "q.at", "q.words", "q.hash"), "quoted")
+    linked = _sayers(quoted, rows.where(whole).select("key", F.explode("said").alias("hash")), tables, "whole")
+    left = linked.where("up IS NULL").drop("up")
+    lengths = frozenset(r.words for r in left.select("words").distinct().collect())  # one small number for each length of a passage
+    if lengths:
+        said = rows.where(whole).select("key", F.explode(said_runs("text", lengths)).alias("hash"))
+        linked = linked.where("up IS NOT NULL").unionByName(_sayers(left, said, tables, "runs"))
     best = linked.groupBy("key").agg(F.count("*").alias("n_quotes"), F.count("up").alias("n_linked"), F.min(F.when(F.col("up").isNotNull(), F.struct("level", "at", "up"))).alias("best"))
     best = tables.write(best.select("key", "n_quotes", "n_linked", F.col("best.up").alias("up")), "links")
     roots = _roots(best.where("up IS NOT NULL").select("key", "up"), tables)

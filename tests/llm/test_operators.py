@@ -151,6 +151,22 @@ def test_quote_chain(spark):
     assert quote_links.reply_order(none).count() == 0
 
 
+def test_partial_quotes(spark):
+    rows = [
+        (1, 0, "u", "first line\nsecond line\nthird line\nfourth\n\nIt is so. Are you sure? Yes, I am."),
+        (1, 1, "a", "> second line\n> Third  line\nno"),
+        (1, 2, "u", "> are you sure?\nwell"),
+        (1, 3, "a", "> Are you sure? Yes,\n> I am.\nso"),
+        (1, 4, "u", "> first line\n> third line\nx"),
+        (2, 0, "u", "> third line\n> fourth\ny"),
+        (2, 1, "a", "> line third\nz"),
+    ]
+    got = quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    link = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in got}
+    assert [link[1, k] for k in (1, 2, 3)] == [(1, 1, 0)] * 3 and link[2, 0] == (1, 1, 0)
+    assert link[1, 4] == link[2, 1] == (0, None, None)
+
+
 # 4
 
 
