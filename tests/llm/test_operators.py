@@ -471,6 +471,18 @@ def test_licenses(spark):
     assert {r.licenses for r in none.collect()} == {""}
 
 
+def test_license_paragraphs(spark):
+    mit = """MIT License\n\nCopyright (c) 2019 A. Nobody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."""
+    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    texts = [mit, lesser, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
+    got = {r.doc_id: r for r in license_dice.scan_licenses(documents(spark, [*enumerate(texts)])).collect()}
+    assert got[0].licenses == "MIT" and [got[k].best_dice for k in range(3)] == [1.0] * 3
+    assert "LGPL-2.1" in got[1].licenses.split(",") and "CC-BY-NC-ND-4.0" in got[2].licenses.split(",")
+    assert all((r.licenses, r.best_dice, r.n_matches) == brute_licenses(texts[k]) for k, r in got.items())
+
+
 def test_bpe_columns(spark):
     """The separate columns say the same as the round trip."""
     bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
