@@ -224,27 +224,37 @@ def _redealt(spark: SparkSession, buckets: DataFrame, scheme: Scheme, chosen: li
         level += 1
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """(id, print long, component_id): component_id is the smallest id reachable over fingerprints within the budget."""
-    scheme, spark = scheme or Scheme(), docs.sparkSession
-    text_batches(spark)
-    tables = Tables(spark, "simhash")
-    rows = tables.write(docs.select(F.col(id_col).alias("id"), simhash(text_col, scheme).alias("print")), "prints")
-    different = tables.write(rows.groupBy("print").agg(F.min("id").alias("least")), "different")
+def _components(rows: DataFrame, scheme: Scheme, tables: Tables) -> DataFrame:
+    """(print, least, first, root) for each different fingerprint: its smallest id and row, and its component's smallest fingerprint.
+
+    rows: (id, print, row), row being a struct by whose order a row is chosen.
+    """
+    spark = rows.sparkSession
+    different = tables.write(rows.groupBy("print").agg(F.min("id").alias("least"), F.min("row").alias("first")), "different")
     n = different.count()
     chosen = masks(n, scheme)
-    buckets = _dealt(different, chosen)
+    prints = different.select("print")
+    buckets = _dealt(prints, chosen)
     if n > scheme.bucket:
         buckets = _redealt(spark, buckets, scheme, chosen, tables)
-    budget = scheme.budget
+    budget, parts = scheme.budget, max(partitions(spark), n * len(chosen) // scheme.bucket)
     edges = (
-        buckets.repartition(partitions(spark), "mask", "value")
+        buckets.repartition(parts, "mask", "value")
         .sortWithinPartitions("mask", "value", F.col("print").bitwiseXOR(F.lit(-(1 << 63))))  # as unsigned, the order of a trie
         .mapInArrow(lambda batches: _bucket_edges(batches, budget), "a long, b long")
     )
     roots = connected_components(edges, tables).withColumnRenamed("node", "print")
     # every node of a component but its root is in roots; the root stands for itself
-    linked = tables.write(different.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root")), "linked")
+    return tables.write(different.join(roots, "print", "left").select("print", "least", "first", F.coalesce("root", "print").alias("root")), "linked")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
+    """(id, print long, component_id): component_id is the smallest id reachable over fingerprints within the budget."""
+    scheme, spark = scheme or Scheme(), docs.sparkSession
+    text_batches(spark)
+    tables = Tables(spark, "simhash")
+    rows = tables.write(docs.select(F.col(id_col).alias("id"), simhash(text_col, scheme).alias("print")), "prints")
+    linked = _components(rows.withColumn("row", F.struct("id")), scheme, tables)
     least = tables.write(linked.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     classes = tables.write(linked.join(least, "root").select("print", "component_id"), "classes")
     return rows.join(classes, "print").select(F.col("id").alias(id_col), "print", "component_id")
@@ -256,8 +266,28 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sche
     return near_duplicates(docs, id_col, text_col, scheme).select(id_col, shown, "component_id")
 
 
+def _hashes(id_col: str, text_col: str) -> list[Column]:
+    """Never null: whether there is no id, and hashes of the id and (128 bits) of the text, which together name a row."""
+    return [F.col(id_col).isNull().alias("unnamed"), F.xxhash64(id_col).alias("h0"), F.xxhash64(text_col).alias("h1"), F.xxhash64(F.lit(1), F.col(text_col)).alias("h2")]
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scheme: Scheme | None = None) -> DataFrame:
-    """One row of each component, that of the smallest id, with all its columns; rows without an id stay."""
-    stays = near_duplicates(docs, id_col, text_col, scheme).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col)).distinct()
-    chosen = docs.where(F.col(id_col).isNotNull()).join(stays, id_col, "left_semi").dropDuplicates([id_col])
-    return chosen.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component with all its columns: the one of the smallest id, rows without an id last.
+
+    A row is chosen, not an id: of rows that share the smallest id but hold
+    other texts the one with the smallest hash of the text stays, and a text of
+    another component stays whatever its id. Rows equal in id and text count
+    once, by the smallest hash of their other columns (of maps none is taken).
+    """
+    scheme, spark = scheme or Scheme(), docs.sparkSession
+    text_batches(spark)
+    tables = Tables(spark, "simhash")
+    name = _hashes(id_col, text_col)
+    row = F.struct(name[0], F.col(id_col).alias("id"), *name[1:])  # in the order of choice: null ids last, then by id
+    rows = tables.write(docs.select(F.col(id_col).alias("id"), simhash(text_col, scheme).alias("print"), row.alias("row")), "prints")
+    chosen = tables.write(_components(rows, scheme, tables).groupBy("root").agg(F.min("first").alias("row")).select("row.*").drop("id"), "chosen")
+    hashable = [F.col(c) for c, kind in docs.dtypes if "map<" not in kind]
+    named = docs.select(F.struct(*docs.columns).alias("_row"), *name, F.xxhash64(*hashable).alias("_order"))
+    # repeated rows meet in the map-side part of the aggregate, so a row of very many copies is no hot group
+    single = named.groupBy(*chosen.columns).agg(F.min_by("_row", "_order").alias("_row"))
+    return single.join(chosen, chosen.columns, "left_semi").select("_row.*")

@@ -81,28 +81,37 @@ def test_quality_verdicts(spark):
 # 2
 
 
-def brute_top(vectors, k, every):
-    ids = sorted(vectors)
-    found = set()
-    for q in ids:
-        if q % every == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(vectors[q], vectors[c], strict=False)), c) for c in ids if c != q))[:k]
-            found |= {(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)}
-    return found
+def brute_top(rows, k, every):
+    """rows: (id, vector). Rows are told apart by their place."""
+    found = []
+    for n, (q, a) in enumerate(rows):
+        if q is not None and q % every == 0:
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), c is None, c or 0) for m, (c, b) in enumerate(rows) if m != n)[:k]
+            found += [(q, rank + 1, None if none else c, -score) for rank, (score, none, c) in enumerate(scored)]
+    return Counter(found)
 
 
 @pytest.mark.parametrize("group", [7, 1000])
 def test_pivot_search(spark, group):
     rng = np.random.default_rng(5)
-    raw = {int(i): [float(x) for x in rng.normal(size=6)] for i in range(60)}
-    raw[7] = raw[3]  # a tie
-    raw[9] = raw[3][:4]  # a shorter one
-    raw[11] = []
-    rows = [*raw.items(), (3, raw[3]), (None, raw[3]), (90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf")])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("g", F.lit(1))
-    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in raw.items()}
-    got = pivot_search.top_k(df, F.col("id") % 5 == 0, search=pivot_search.Search(k=4, pivots=5, group=group, small_group=group))
-    assert {tuple(r) for r in got.collect()} == brute_top(whole, 4, 5)
+    raw = [(int(i), [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    raw += [(7, raw[3][1]), (9, raw[3][1][:4]), (11, []), (3, raw[3][1]), (None, raw[5][1]), (None, raw[3][1])]  # ties, a shorter one, an empty one, no id
+    raw += [(5, raw[5][1]), (5, [3.0] * 6), (5, [-3.0] * 6)]  # one id with the same and with other vectors
+    df = spark.createDataFrame([*raw, (90, None), (91, [1.0, None]), (92, [float("nan")]), (93, [float("inf")])], "vec_id long, embedding array<double>")
+    df = df.withColumn("rank", F.lit("x")).withColumn("g", F.lit(1)).withColumn("row", F.lit(1))
+    whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw]
+    got = pivot_search.top_k(df, F.col("id") % 5 == 0, search=pivot_search.Search(k=4, pivots=5, sample=20, group=group, small_group=group))
+    assert Counter(tuple(r) for r in got.collect()) == brute_top(whole, 4, 5)
+
+
+def test_pivot_search_of_clusters(spark):
+    """Far clusters, one of which holds most rows: cells are left out and a cell is split, and nothing changes."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(4, 8)) * 20
+    raw = [(k, [float(x) for x in centres[k % 4 if k % 3 else 0] + rng.normal(size=8) / 9]) for k in range(700)]
+    df = spark.createDataFrame(raw, "vec_id long, embedding array<double>")
+    got = pivot_search.top_k(df, F.col("id") % 25 == 0, search=pivot_search.Search(k=3, pivots=6, sample=100, group=50, small_group=50))
+    assert Counter(tuple(r) for r in got.collect()) == brute_top([(i, [int(np.floor(256 * x)) for x in v]) for i, v in raw], 3, 25)
 
 
 def test_pivot_search_small(spark):
@@ -359,10 +368,25 @@ def test_simhash(spark):
     kept = simhash_trie.keep_one(docs.unionByName(docs))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
-    assert simhash_trie.report(empty(spark)).count() == 0
+    assert simhash_trie.report(empty(spark)).count() == 0 and simhash_trie.keep_one(empty(spark)).count() == 0
     nulls = documents(spark, [(None, "a b"), (None, "a b"), (3, "a b")])
     assert {r.component_id for r in simhash_trie.report(nulls).collect()} == {3}
-    assert simhash_trie.keep_one(nulls).count() == 3
+    assert [r.doc_id for r in simhash_trie.keep_one(nulls).collect()] == [3]
+
+
+def test_keep_one_keeps_texts(spark):
+    """A row is kept of every component, whatever ids its rows share or lack."""
+    a, b, c, near = prose(200, 11), prose(200, 12), prose(200, 13), prose(200, 11) + " x"
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (None, near), (7, near), (7, near)]
+    docs = documents(spark, rows).withColumn("_row", F.lit("own")).withColumn("h1", F.lit(1))
+    for order in (docs, docs.orderBy(F.desc("text"))):
+        kept = simhash_trie.keep_one(order)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(3, a), (5, b), (0, c)])
+    same = spark.createDataFrame([(1, "one two", "en", s, 1) for s in ("x", "y", "z")] + [(1, None, "en", "x", 1)], DOCS)
+    left = [simhash_trie.keep_one(same.orderBy(way)).collect() for way in ("source", F.desc("source"))]
+    assert left[0] == left[1] or sorted(map(str, left[0])) == sorted(map(str, left[1]))
+    assert len(left[0]) == 2
 
 
 @pytest.mark.parametrize("bits", [3, 8, 64])
