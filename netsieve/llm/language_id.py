@@ -7,12 +7,14 @@ to the n-grams one character shorter that it consists of, down to single
 characters; the word then scores the mean over the places that were known. The
 language with the highest sum over a text's words is predicted, and the score
 is its share of the softmax of the mean scores per word, scaled by the square
-root of the number of words.
+root of the number of words. A word is a run of letters (``\\p{L}``) in lower
+case, cut by the same code when the model learns and when it predicts.
 
-The model is fitted on a bounded sample of the labelled rows (at most about
-``Limits.rows`` of each language, by a hash of id and text) and holds the
-``Limits.words`` most frequent words and the ``Limits.grams`` most frequent
-n-grams of those, so its size has a bound at any input and it is broadcast. Every text is read whole.
+The model is fitted on a bounded sample of the labelled rows (by a hash of id
+and text: about ``Limits.rows`` of each language, ``Limits.total`` of all) and
+holds every word and n-gram of it, so its size follows the sample and not the
+input. It holds counts only for the languages that a unit was seen in, and is
+broadcast. Every text is read whole.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 with no labelled rows every text is; a text of which nothing is known takes the
@@ -23,38 +25,48 @@ null ids hash as empty; repeated rows count as often as they are repeated.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsieve.llm.shared import text_batches
 
-WORD = r"[^\W\d_]+"
+WORD = regex.compile(r"\p{L}+")
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Rows sampled of each language, entries kept of each kind, longest n-gram, added counts, languages at most."""
+    """Rows sampled of each language and of all, longest n-gram, added counts, unseen words that a worker remembers."""
 
     rows: int = 1000
-    words: int = 40_000
-    grams: int = 40_000
+    total: int = 200_000
     longest: int = 4
     smoothing: float = 0.5
-    languages: int = 200
     memo: int = 200_000
 
 
+#: Of a unit: how much more it scores in a language (by number) than a unit never seen there.
+Gains = tuple[tuple[int, float], ...]
+
+
+@dataclass(frozen=True)
+class Units:
+    """Gains of words or n-grams, and what a unit scores in each language that it was never seen in."""
+
+    gains: dict[str, Gains]
+    unseen: tuple[float, ...]
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: Units
+    grams: Units
     longest: int
 
 
@@ -62,107 +74,115 @@ def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}]+"), F.lit(0))
-
-
-Counts = list[tuple[str, dict[str, int]]]
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
 
 
-def _frequent(sample: DataFrame, most: int) -> Counts:
-    """The most frequent words, with their counts by language."""
-    counts = sample.select("lang", F.explode("words").alias("word")).groupBy("word", "lang").count()
-    by_word = counts.groupBy("word").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"))
-    return [(row["word"], row["by"]) for row in by_word.orderBy(F.desc("n"), "word").limit(most).collect()]
+def grams_of(word: str, longest: int) -> list[str]:
+    """All n-grams of a word, a space standing for either end of it."""
+    padded = f" {word} "
+    return [padded[at : at + n] for n in range(1, longest + 1) for at in range(len(padded) - n + 1)]
 
 
-def _grams(words: Counts, limits: Limits) -> Counts:
-    """The most frequent n-grams of those words, a space standing for either end of a word."""
-    found: dict[str, Counter] = defaultdict(Counter)
-    for word, by in words:
-        padded = f" {word} "
-        parts = [padded[at : at + n] for n in range(1, limits.longest + 1) for at in range(len(padded) - n + 1)]
-        for lang, times in by.items():
-            counter = found[lang]
-            for part in parts:
-                counter[part] += times
-    total = Counter()
-    for counter in found.values():
-        total.update(counter)
-    kept = sorted(total, key=lambda part: (-total[part], part))[: limits.grams]
-    return [(part, {lang: counter[part] for lang, counter in found.items() if part in counter}) for part in kept]
+def _counted(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
+    """(gram, unit, lang, n) of the words and n-grams of each batch of (lang, text), added up within it."""
+    for batch in batches:
+        words: Counter = Counter()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            for word, n in Counter(words_of(text.as_py())).items():
+                words[lang, word] += n
+        grams: Counter = Counter()
+        for (lang, word), n in words.items():
+            for part in grams_of(word, longest):
+                grams[lang, part] += n
+        for is_gram, counts in ((False, words), (True, grams)):
+            columns = [is_gram] * len(counts), [unit for _, unit in counts], [lang for lang, _ in counts], list(counts.values())
+            types = pa.bool_(), pa.string(), pa.int32(), pa.int64()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["gram", "unit", "lang", "n"])
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", limits: Limits | None = None) -> Model:
     """A model from the rows of docs that have a text and a language."""
     limits = limits or Limits()
+    longest = limits.longest
     rows = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(limits.languages + 1).collect()}
-    if len(sizes) > limits.languages:
-        raise ValueError(f"there are more than {limits.languages} languages")
-    if not sizes:
-        return Model((), {}, {}, limits.longest)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # the languages are part of the model
+    languages = tuple(sorted(sizes))
+    if not languages:
+        return Model((), Units({}, ()), Units({}, ()), longest)
     # a row is in the sample by its own hash alone: of a language with n rows a share of rows / n
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, limits.rows / n))]), F.col("lang"))
-    sample = rows.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("lang", words_of(F.col("text")).alias("words"))
-    languages = tuple(sizes)
-    words = _frequent(sample, limits.words)
-    return Model(languages, _logs(words, languages, limits), _logs(_grams(words, limits), languages, limits), limits.longest)
-
-
-def _logs(counts: Counts, languages: tuple[str, ...], limits: Limits) -> dict[str, tuple[float, ...]]:
-    """Smoothed log frequencies of units relative to all that were kept."""
-    total: Counter = Counter()
+    each = min(limits.rows, limits.total / len(languages))
+    known = F.create_map(*[F.lit(x) for k, lang in enumerate(languages) for x in (lang, k)])
+    share = F.get(F.array(*[F.lit(min(1.0, each / sizes[lang])) for lang in languages]), F.col("lang"))
+    sample = rows.withColumn("lang", F.element_at(known, F.col("lang"))).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
+    counts = sample.select("lang", "text").mapInArrow(lambda batches: _counted(batches, longest), "gram boolean, unit string, lang int, n long")
+    by_unit = counts.groupBy("gram", "unit", "lang").agg(F.sum("n").alias("n")).groupBy("gram", "unit").agg(F.collect_list(F.struct("lang", "n")).alias("by"))
+    found = by_unit.toArrow()  # as much as the units of the sample
+    units = [(g, u, [(x["lang"], x["n"]) for x in by]) for g, u, by in zip(*(found.column(c).to_pylist() for c in ("gram", "unit", "by")), strict=True)]
+    return Model(languages, *(_units([(u, by) for g, u, by in units if g == is_gram], len(languages), limits.smoothing) for is_gram in (False, True)), longest)
+
+
+def _units(counts: list[tuple[str, list[tuple[int, int]]]], languages: int, smoothing: float) -> Units:
+    """Smoothed log frequencies of units relative to all of their kind."""
+    total = [0] * languages
     for _, by in counts:
-        total.update(by)
-    base = {lang: math.log(total[lang] + limits.smoothing * (len(counts) + 1)) for lang in languages}
-    return {unit: tuple(math.log(by.get(lang, 0) + limits.smoothing) - base[lang] for lang in languages) for unit, by in counts}
+        for lang, n in by:
+            total[lang] += n
+    unseen = tuple(math.log(smoothing) - math.log(n + smoothing * (len(counts) + 1)) for n in total)
+    return Units({unit: tuple((lang, math.log((n + smoothing) / smoothing)) for lang, n in sorted(by)) for unit, by in counts}, unseen)
 
 
 class Scorer:
-    """Scores with one model, remembering words."""
+    """Scores with one model, remembering unseen words."""
 
     def __init__(self, model: Model, memo: int) -> None:
         self.model, self.memo, self.most = model, {}, memo
-        self.find = re.compile(WORD).findall
 
-    def _gram(self, gram: str) -> list[tuple[float, ...]]:
-        known = self.model.grams.get(gram)
+    def _gram(self, gram: str) -> list[Gains]:
+        known = self.model.grams.gains.get(gram)
         if known is not None:
             return [known]
         if len(gram) == 1:
             return []
         return self._gram(gram[:-1]) + self._gram(gram[1:])
 
-    def word(self, word: str) -> tuple[float, ...] | None:
-        """The scores of a word; None if nothing of it is known."""
-        scores = self.model.words.get(word)
-        if scores is not None:
-            return scores
+    def _unseen(self, word: str) -> Gains | None:
+        """The mean gains of a word's n-grams; None if none is known."""
         padded, n = f" {word} ", self.model.longest
         found = [x for k in range(max(1, len(padded) - n + 1)) for x in self._gram(padded[k : k + n])]
-        return tuple(sum(column) / len(found) for column in zip(*found, strict=True)) if found else None
+        sums: Counter = Counter()
+        for gains in found:
+            for lang, gain in gains:
+                sums[lang] += gain
+        return tuple((lang, gain / len(found)) for lang, gain in sums.items()) if found else None
+
+    def unseen(self, word: str) -> Gains | None:
+        if word in self.memo:
+            return self.memo[word]
+        if len(self.memo) >= self.most:
+            self.memo.clear()
+        gains = self._unseen(word)
+        if len(word) <= 64:
+            self.memo[word] = gains
+        return gains
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = self.find((text or "").lower())
-        languages = self.model.languages
+        words = words_of(text)
+        languages, known = self.model.languages, self.model.words.gains.get
         if not words or not languages:
             return "und", 0.0
-        sums, n = [0.0] * len(languages), 0
+        sums, whole, parts = [0.0] * len(languages), 0, 0
         for word, times in Counter(words).items():
-            if word in self.memo:
-                scores = self.memo[word]
-            else:
-                if len(self.memo) >= self.most:
-                    self.memo.clear()
-                scores = self.word(word)
-                if len(word) <= 64:
-                    self.memo[word] = scores
-            if scores:
-                n += times
-                for k, x in enumerate(scores):
-                    sums[k] += times * x
+            gains = known(word)
+            if gains is not None:
+                whole += times
+            elif (gains := self.unseen(word)) is not None:
+                parts += times
+            for lang, gain in gains or ():
+                sums[lang] += times * gain
+        sums = [x + whole * a + parts * b for x, a, b in zip(sums, self.model.words.unseen, self.model.grams.unseen, strict=True)]
+        n = whole + parts
         scale = math.sqrt(n) / n if n else 0.0
         best = max(range(len(languages)), key=lambda k: (sums[k], -k))
         return languages[best], 1 / sum(math.exp((x - sums[best]) * scale) for x in sums)

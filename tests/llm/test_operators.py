@@ -238,6 +238,68 @@ def test_language_edges(spark):
     assert language_id.identify(empty(spark)).count() == 0
 
 
+def brute_language(rows, text, longest=4, smoothing=0.5):
+    """(lang, score) of a text by a model of rows (lang, text), in plain code."""
+    import math
+    import unicodedata
+
+    def cut(text):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+
+    languages = sorted({lang for lang, _ in rows})
+    counts = {"word": {x: Counter() for x in languages}, "gram": {x: Counter() for x in languages}}
+    for lang, line in rows:
+        for word in cut(line):
+            counts["word"][lang][word] += 1
+            for n in range(1, longest + 1):
+                for k in range(len(word) + 3 - n):
+                    counts["gram"][lang][f" {word} "[k : k + n]] += 1
+
+    def score(kind, unit, lang):
+        different = len(set().union(*counts[kind].values()))
+        return math.log(counts[kind][lang][unit] + smoothing) - math.log(sum(counts[kind][lang].values()) + smoothing * (different + 1))
+
+    def known(kind, unit):
+        return any(unit in c for c in counts[kind].values())
+
+    def backoff(gram):
+        if known("gram", gram):
+            return [gram]
+        return [] if len(gram) == 1 else backoff(gram[:-1]) + backoff(gram[1:])
+
+    if not cut(text or ""):
+        return "und", 0.0
+    sums, n = dict.fromkeys(languages, 0.0), 0
+    for word in cut(text):
+        kind, units = "word", [word]
+        if not known("word", word):
+            padded = f" {word} "
+            kind, units = "gram", [g for k in range(max(1, len(padded) - longest + 1)) for g in backoff(padded[k : k + longest])]
+        if units:
+            n += 1
+            for lang in languages:
+                sums[lang] += sum(score(kind, u, lang) for u in units) / len(units)
+    best = max(languages, key=lambda lang: (sums[lang], [-ord(c) for c in lang]))
+    return best, 1 / sum(math.exp((x - sums[best]) * n**-0.5 if n else 0.0) for x in sums.values())
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(12)
+    sets = {"aa": "abcd", "bb": "cdeé", "cc": "éfgß"}
+    line = lambda lang, n: " ".join("".join(rng.choice(sets[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(k, line(lang, 6) + rng.choice(["", " 12", "!", " \u00b2"]), lang, "s", 1) for k in range(60) for lang in [rng.choice(list(sets))]]
+    rows += [(200 + k, t, None, "s", 1) for k, t in enumerate(["\u00b2", "\u00bd \u2167 12", "x\u00b2y", "abcd zzz", "dcba fgé", "", None, "qqq", "a" * 3000, "İstanbul ǅ ª", "d d d d", "a\u0301b"])]
+    rows += [(7, rows[7][1], rows[7][2], "s", 1)]
+    learnt = [(r[2], r[1]) for r in rows if r[2] and __import__("zlib").crc32(str(r[0]).encode()) % 4 != 2]
+    got = language_id.identify(spark.createDataFrame(rows, DOCS)).collect()
+    want = {r[0]: brute_language(learnt, r[1]) for r in rows}
+    assert len(got) == len(rows) and {r.doc_id: r.lang_pred for r in got} == {k: x[0] for k, x in want.items()}
+    assert all(r.score == pytest.approx(want[r.doc_id][1], abs=1e-9) for r in got)
+    assert want[200] == want[201] == ("und", 0.0) and want[202][0] != "und"
+    tie = spark.createDataFrame([(k, t, lang, "s", 1) for k in (0, 1, 3, 4) for t, lang in (("same", "x"), ("same", "w"))] + [(50, "same", None, "s", 1)], DOCS)
+    assert {r.lang_pred for r in language_id.identify(tie).collect()} == {"w"}
+
+
 # 6
 
 
