@@ -144,11 +144,13 @@ ORACLES = {
         WITH sizes AS (SELECT source, count(*) AS s FROM documents GROUP BY source),
         weighed AS (SELECT source, s, CASE source WHEN 'src0' THEN 2.0::DOUBLE WHEN 'src1' THEN 0.5 ELSE 1.0 END AS w FROM sizes),
         rates AS (SELECT source, w / (SELECT sum(w) FROM weighed) * (SELECT sum(s) FROM weighed)::DOUBLE / s AS rate FROM weighed),
-        terms AS (SELECT source, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-                  FROM (SELECT source, rate, unnest(range(0, (ceil(rate + 12 * sqrt(rate)) + 31)::BIGINT)) AS k FROM rates)),
+        cut AS (SELECT source, greatest(ceil(rate / 64), 1) AS parts, rate / greatest(ceil(rate / 64), 1) AS mean FROM rates),
+        terms AS (SELECT source, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p
+                  FROM (SELECT source, mean, unnest(range(0, (ceil(mean + 12 * sqrt(mean)) + 31)::BIGINT)) AS k FROM cut)),
         sums AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms),
-        draws AS (SELECT *, ('0x' || substr(md5('20240|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-        counted AS (SELECT any_value(d) AS d, count(*) AS n FROM (SELECT row_number() OVER () AS r, draws AS d, u, source FROM draws) AS x
-                    JOIN sums ON x.source IS NOT DISTINCT FROM sums.source AND sums.c <= x.u GROUP BY r)
-        SELECT d.doc_id AS doc_id, d.text AS text, d.lang AS lang, d.source AS source, d.n_chars AS n_chars, unnest(range(1, n + 1))::INTEGER AS copy FROM counted""",
+        parted AS (SELECT row_number() OVER () AS r, d.*, unnest(range(0, parts::BIGINT)) AS part FROM documents AS d JOIN cut ON d.source IS NOT DISTINCT FROM cut.source),
+        draws AS (SELECT *, ('0x' || substr(md5('20240|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '') || CASE part WHEN 0 THEN '' ELSE '|' || part END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM parted),
+        counted AS (SELECT any_value(d) AS d, count(*) AS n FROM (SELECT draws AS d, r, part, u, source FROM draws) AS x
+                    JOIN sums ON x.source IS NOT DISTINCT FROM sums.source AND sums.c <= x.u GROUP BY r, part)
+        SELECT d.doc_id AS doc_id, d.text AS text, d.lang AS lang, d.source AS source, d.n_chars AS n_chars, d.part * 1024 + unnest(range(1, n + 1)) AS copy FROM counted""",
 }

@@ -7,13 +7,16 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder named by spark.checkpoint.dir; where that is unset a folder of our own, if all tasks run in this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + (own := tempfile.mkdtemp(prefix="netsieve-"))
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(folder)
@@ -46,8 +49,23 @@ class Tables:
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, rows: int = 0, of_partition: int = 1) -> int:
+    """The session's number of shuffle partitions, or more if the rows are too many for those."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // of_partition))
+
+
+#: Bytes of a table that is sent to every executor.
+MOST_BYTES = 32 << 20
+
+
+def broadcast_if_small(table: DataFrame, size: Column, most: int | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows (``size`` bytes each) were measured to fit ``most`` bytes."""
+    total = table.agg(F.coalesce(F.sum(size.cast("long") + ROW_BYTES), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= (MOST_BYTES if most is None else most) else table
+
+
+#: What a row costs besides its values.
+ROW_BYTES = 64
 
 
 #: Rows of a batch that Spark hands to Python at once, for columns of texts.

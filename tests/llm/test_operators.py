@@ -498,7 +498,7 @@ def test_mix(spark):
     assert one.columns == [*[c for c in docs.columns if c != "copy"], "copy"]
     first = Counter(map(tuple, one.collect()))
     assert first == Counter(map(tuple, poisson_mix.replicate(docs.repartition(3), weights, 5).collect()))
-    assert first == Counter(map(tuple, poisson_mix.replicate(docs, weights, 5, most_sources=0).collect()))
+    assert first == Counter(map(tuple, poisson_mix.replicate(docs, weights, 5, most_bytes=0).collect()))
     assert first != Counter(map(tuple, poisson_mix.replicate(docs, weights, 6).collect()))
     by = Counter(r[3] for r in first.elements())
     total = len(rows)
@@ -513,6 +513,23 @@ def test_mix(spark):
     assert poisson_mix.replicate(repeated, {"s": 1.0}, 1).count() % 50 == 0
 
 
+def test_mix_of_large_means(spark):
+    """Rates far above a part's: a source of one document among many, with a long text, and a mean of a million."""
+    long = prose(20_000)
+    docs = documents(spark, [(k, "t") for k in range(2000)]).unionByName(spark.createDataFrame([(-1, long, "en", "rare", 1), (-2, None, "en", None, 1)], DOCS))
+    many = poisson_mix.replicate(docs.withColumn("_part", F.lit("own")), {"s": 1.0, "rare": 0.5, None: 0.5}, 3).drop("text")
+    assert [poisson_mix.replicate(docs, {"rare": 1.0}, 3, most_bytes=b).groupBy("copy").count().count() for b in (0, 1 << 20)] == [n := poisson_mix.replicate(docs, {"rare": 1.0}, 3).count()] * 2
+    assert abs(n - 2002) < 5 * 2002**0.5
+    rows = many.collect()
+    by = Counter(r.doc_id for r in rows if r.doc_id < 0)
+    assert all(abs(by[k] - 500.5) < 5 * 500.5**0.5 for k in (-1, -2)) and {r._part for r in rows} == {"own"}
+    assert all(len({r.copy for r in rows if r.doc_id == k}) == by[k] for k in (-1, -2))
+    one = spark.range(999_999).select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit("s").alias("source")).unionByName(spark.createDataFrame([(-1, "x", "rare")], "doc_id long, text string, source string"))
+    huge = poisson_mix.replicate(one, {"rare": 1.0}, 3)
+    assert abs(huge.count() - 10**6) < 5 * 10**3 and huge.select("copy").distinct().count() == huge.count()
+    assert huge.groupBy(F.spark_partition_id()).count().count() == 4
+
+
 def test_poisson_is_poisson(spark):
     for mean in (0.3, 4.0, 900.0):
         cdf = spark.range(1).select(poisson_mix.cumulative(F.lit(mean)).alias("c")).first().c
