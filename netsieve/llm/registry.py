@@ -81,13 +81,22 @@ QUERIES = {
 }
 
 
+#: The SQL's own wording of the secrets: kind, pattern, group, least characters of the group.
+SECRETS = (
+    ("assign", r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+)
+
 
 def _spans_sql() -> str:
     """The matches of every rule with their places, from matches and the text between them."""
     kinds = " UNION ALL ".join(
-        f"""SELECT r, {order} AS o, '{rule.kind}' AS kind, regexp_extract_all(t, $${rule.pattern}$$) AS found, regexp_extract_all(t, $${rule.pattern}$$, {rule.group}) AS held,
-            regexp_split_to_array(t, $${rule.pattern}$$) AS gaps, {rule.least} AS least FROM texts"""
-        for order, rule in enumerate(secret_ledger.RULES)
+        f"""SELECT r, {order} AS o, '{kind}' AS kind, regexp_extract_all(t, $${pattern}$$) AS found, regexp_extract_all(t, $${pattern}$$, {group}) AS held,
+            regexp_split_to_array(t, $${pattern}$$) AS gaps, {least} AS least FROM texts"""
+        for order, (kind, pattern, group, least) in enumerate(SECRETS)
     )
     return f"""
         WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),

@@ -331,22 +331,49 @@ def test_secrets(spark):
     assert secret_ledger.scan_documents(empty(spark)).count() == 0
 
 
+def test_secrets_in_long_texts(spark):
+    """100,000 spans in one text, found and replaced in proportion to them; texts longer than a piece, spans over its border."""
+    rng = random.Random(4)
+    many = "".join(f"é😀 AKIA{k:016d}{rng.choice(' .')}" for k in range(100_000))
+    border = "ü" * 4090 + "deadbeefdeadbeef0000" + "x" * 4096 + " token=" + "y" * 9000 + "\n" + "ab" * 3000
+    docs = documents(spark, [(1, many), (2, border), (3, "x" * 8192)])
+    for row in secret_ledger.scan_documents(docs).collect():
+        text = {1: many, 2: border, 3: "x" * 8192}[row.doc_id]
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in row.spans] == [x[2] for x in brute_spans(text)]
+    clean = {r.doc_id: r.text for r in secret_ledger.redact(docs).collect()}
+    assert clean[1] == __import__("re").sub("AKIA[0-9]+", "[SECRET]", many)
+    assert clean[2] == "ü" * 4090 + "[SECRET]" + "x" * 4096 + " [SECRET]\n[SECRET]" and clean[3] == "x" * 8192
+
+
+def test_running(spark):
+    rng = random.Random(2)
+    for n in (0, 1, 63, 64, 65, 5000):
+        values = [rng.randrange(100) for _ in range(n)]
+        df = spark.createDataFrame([(values,)], "v array<int>")
+        add, most = df.select(secret_ledger.running(F.col("v"), secret_ledger._add).alias("a"), secret_ledger.running(F.col("v"), secret_ledger._greater).alias("m")).first()
+        assert add == [sum(values[: k + 1]) for k in range(n)] and most == [max(values[: k + 1]) for k in range(n)]
+
+
 def test_ledger_scans_only_new(spark, tmp_path):
     ledger = secret_ledger.Ledger(spark, f"file://{tmp_path}/ledger")
+    new = lambda docs, **more: ledger.update(docs, **more)[1].count()
     first = documents(spark, [(1, SECRETS[3]), (2, "plain"), (3, SECRETS[3])])
-    assert ledger.update(first).count() == 2
-    second = documents(spark, [(4, SECRETS[3]), (5, SECRETS[10]), (6, None), (7, "")])
-    assert ledger.update(second).count() == 2  # the new blob, and the empty one
-    assert ledger.update(second).count() == 0
-    assert {r.doc_id: len(r.spans) for r in ledger.paths(first.unionByName(second)).collect()} == {1: 2, 2: 0, 3: 2, 4: 2, 5: 2, 6: 0, 7: 0}
-    assert ledger.update(first, rules=secret_ledger.RULES[:1]).count() == 2  # another version of the rules
-    assert {r.doc_id: len(r.spans) for r in ledger.paths(first, rules=secret_ledger.RULES[:1]).collect()} == {1: 1, 2: 0, 3: 1}
+    assert new(first) == 2
+    second = documents(spark, [(4, SECRETS[3]), (5, SECRETS[10]), (6, None), (7, ""), (2, SECRETS[10])])
+    assert new(second) == 2  # the new blob, and the empty one
+    assert new(second) == 0
+    spans = lambda found: sorted((r.doc_id, len(r.spans)) for r in found.collect())
+    assert spans(secret_ledger.scan_documents(second, folder=ledger.folder)) == [(2, 2), (4, 2), (5, 2), (6, 0), (7, 0)]
+    # earlier versions and paths that this call didn't name, among them the first version of 2
+    assert spans(ledger.history()) == [(1, 2), (2, 0), (2, 2), (3, 2), (4, 2), (5, 2), (6, 0), (7, 0)]
+    assert new(first, rules=secret_ledger.RULES[:1]) == 2  # another version of the rules
+    assert spans(secret_ledger.scan_documents(first, rules=secret_ledger.RULES[:1], folder=ledger.folder)) == [(1, 1), (2, 0), (3, 1)]
 
 
 def test_redaction(spark, monkeypatch):
     docs = documents(spark, list(enumerate(SECRETS))).withColumn("spans", F.lit("kept"))
-    for bound in (secret_ledger.MOST_FINDINGS, 0):
-        monkeypatch.setattr(secret_ledger, "MOST_FINDINGS", bound)
+    for bound in (secret_ledger.MOST_BYTES, 0):
+        monkeypatch.setattr(secret_ledger, "MOST_BYTES", bound)
         got = {r.doc_id: r for r in secret_ledger.redact(docs, length_col="n_chars").collect()}
         assert got[0].text is None and got[1].text == "" and got[2].text == "nothing"
         assert got[3].text == "[SECRET]" + '"' and got[3].n_chars == len(got[3].text)
