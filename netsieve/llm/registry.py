@@ -12,8 +12,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fitted_bands(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_bands.Bands:
+    """Bands narrowed to the rows of docs that the table of labels calls good; the wide ones where there is no such table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/labels.parquet")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return quality_bands.Bands()
+    return quality_bands.fit(docs, _table(spark, sf_dir, "labels"))
+
+
 def op1_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_bands.quality_report(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return quality_bands.quality_report(docs, bands=fitted_bands(spark, docs, sf_dir))
 
 
 def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,25 @@ def test_quality_verdicts(spark):
     assert quality_bands.quality_report(empty(spark)).count() == 0
 
 
+def test_fitted_bands(spark):
+    """Fitted to half of the labelled rows, the bands reject most junk of the other half that the base rules pass, and hardly a good row."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").withColumn("quality", F.lit("own")).withColumn("label", F.lit(1))
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    bands = quality_bands.fit(docs, labels.where("doc_id % 2 = 0"))
+    assert bands.chunk[0] > 0.3 and [x[0] for x in bands.whole] == sorted(x[0] for x in bands.whole)
+    judged = quality_bands.quality_report(docs.join(labels.where("doc_id % 2 = 1").select("doc_id"), "doc_id", "left_semi"), bands=bands).where("not base_failed")
+    shares = {r.quality: r.kept for r in judged.join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert shares[1] >= 0.995 and shares[0] <= 0.4
+    some = quality_bands.fit(docs, labels.where("doc_id % 2 = 0"), sample=quality_bands.Fit(rows=100, least=5))
+    assert some != bands and some != quality_bands.Bands()
+    for none in (labels.limit(0), labels.where("quality = 0"), labels.withColumn("doc_id", F.lit(None).cast("long"))):
+        wide = quality_bands.fit(docs, none)
+        assert all(quality_bands.limits(wide, n) == quality_bands.limits(quality_bands.Bands(), n) for n in (3, 511, 512, 2047, 9000, 70_000, 10**7)) and wide.chunk == quality_bands.Bands().chunk
+    assert quality_bands.quality_report(empty(spark), bands=bands).count() == 0
+    odd = documents(spark, [(1, None), (None, "a b"), (2, prose(90, 1)), (2, prose(90, 1))]).withColumn("kept", F.lit("x")).withColumn("ratio", F.lit(0))
+    assert quality_bands.quality_report(odd, bands=bands).count() == 4
+
+
 # 2
 
 
