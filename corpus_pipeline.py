@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on every row its predecessor
 kept, and is written as Parquet and read again before the next. All but the
 last return the columns of documents; the last returns one row of ids for each
-copy in the mix. Rows without an id stay where ids decide; texts may be null.
+copy in the mix. Rows are told apart by id and text, so ids may be null or repeat;
+texts may be null.
 """
 
 from __future__ import annotations
@@ -11,17 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from netsieve.llm import byte_bpe, poisson_mix, quality_bands, secret_ledger, simhash_trie
-from netsieve.llm.registry import MIX_OTHER, MIX_SEED, MIX_WEIGHTS
+from netsieve.llm.registry import MIX_OTHER, MIX_SEED, MIX_WEIGHTS, fitted_bands
 from netsieve.llm.shared import Tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the compression bands."""
-    return quality_bands.keep_clean(docs)
+    """Documents that pass the base rules and the compression bands, which are fitted to the documents labelled as good."""
+    return quality_bands.keep_clean(docs, bands=fitted_bands(spark, docs, sf_dir))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
+    """One document of each group of near copies, that of the smallest id; a text is never lost to another's id."""
     return simhash_trie.keep_one(docs)
 
 
