@@ -74,10 +74,15 @@ def vocabulary(ranks: bytes) -> dict[int, bytes]:
     return {int(rank): base64.b64decode(token) for token, rank in pairs}
 
 
+#: Fixed value: the pattern whose pieces never reach over a single space between two characters that aren't blank.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Codec:
     """Encoding with the vocabulary of one rank file and the splitting pattern."""
 
     def __init__(self, ranks: bytes, pattern: str) -> None:
+        self.spaced = pattern == SPACED
         self.tokens = vocabulary(ranks)
         self.rank_of = {token: rank for rank, token in self.tokens.items()}
         self.find = regex.compile(pattern).findall
@@ -192,7 +197,12 @@ class Codec:
         it: so texts are cut there, and each different word of the batch is
         looked up once with its space, split and merged only when it is new.
         A text with a blank beside a space, or at an end, is cut only elsewhere.
+        Of another pattern than SPACED nothing of this is known: its texts are
+        split whole.
         """
+        if not self.spaced:
+            ids = [self._pieces(text or "") for text in texts.to_pylist()]
+            return spliced(pa.array(ids, pa.large_binary()), np.arange(len(ids)), np.arange(len(ids) + 1))
         words = pc.split_pattern(pc.fill_null(texts, ""), " ")
         starts, flat = words.offsets.to_numpy(), words.flatten().dictionary_encode()
         starts = starts - starts[0]

@@ -231,6 +231,24 @@ def test_bpe_driver_table(spark, sf_dir):
         assert list(row.ids) == known.encode_ordinary(texts[row.doc_id])
 
 
+def test_bpe_other_pattern(spark):
+    """A pattern whose pieces reach over single spaces; repeated rows; a text longer than a slice."""
+    assert byte_bpe.SPACED == public_tokenizers.PATTERN
+    pattern = r"[a-z ]+|[^a-z ]+"
+    known = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=reference_codec()._mergeable_ranks, special_tokens={})
+    texts = ["a b c", "the cat  sat", "", "x" * 50, "é a", "of the of the"]
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern)
+    got = {r.doc_id: list(r.ids) for r in byte_bpe.encode_documents(documents(spark, [*enumerate(texts)]), bpe).collect()}
+    assert got == {k: known.encode_ordinary(t) for k, t in enumerate(texts)}
+    long = prose(900_000)
+    assert len(long) > byte_bpe.SLICE
+    bpe = byte_bpe.ByteBpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rows = byte_bpe.encode_documents(documents(spark, [(1, long), (2, "same"), (2, "same")]), bpe).collect()
+    want = reference_codec().encode_ordinary(long)
+    assert len(rows) == 3 and all(list(r.ids) == (want if r.doc_id == 1 else reference_codec().encode_ordinary("same")) for r in rows)
+    assert next(bytes(r.decoded) for r in rows if r.doc_id == 1) == long.encode()
+
+
 # 5
 
 
@@ -434,6 +452,17 @@ def test_urls(spark, most):
     assert {r.verdict for r in url_trie.filter_urls(pages, rules.limit(0), most_rules=most, default="block").collect()} == {"block"}
 
 
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_urls_of_one_directory(spark, most):
+    """Thousands of rules in one directory, and urls of one host."""
+    rng = random.Random(7)
+    listed = [("a.io", f"/d/{rng.randrange(10**6):x}", rng.choice(["allow", "block"])) for _ in range(4000)] + [("io", "/d/", "block"), ("a.io", "/d/x/y", "allow")]
+    urls = [f"http://{rng.choice(['a.io', 'b.a.io', 'io'])}{rng.choice([listed[rng.randrange(4000)][1], '/d/zz', '/d/x/y/z', '/e'])}{rng.choice(['', '0', '/q'])}" for _ in range(300)]
+    pages = spark.createDataFrame([*enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_trie.filter_urls(pages, spark.createDataFrame(listed, "host string, path string, verdict string"), most_rules=most).collect()}
+    assert got == {k: brute_verdict(u, listed) for k, u in enumerate(urls)}
+
+
 # 8
 
 
