@@ -30,7 +30,8 @@ def op2_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_links.reply_order(_table(spark, sf_dir, "conversations"))
+    """The table holds no quotes, so its messages are first sent as mail, each quoting the two before it."""
+    return quote_links.reply_order(quote_links.mailed(_table(spark, sf_dir, "conversations")))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +141,22 @@ ORACLES = {
         scored AS (SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, list_dot_product(a.q, b.q)::BIGINT AS score FROM v AS a JOIN v AS b ON a.vec_id % 50 = 0 AND a.r <> b.r)
         SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score
         FROM scored QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) <= 5""",
+    "op3_quote_links": r"""
+        WITH RECURSIVE m AS (SELECT conv_id, turn, role, text, nullif(trim(lower(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '') AS plain FROM conversations),
+        units AS (SELECT conv_id, turn, plain AS unit FROM m WHERE plain IS NOT NULL
+                  UNION SELECT conv_id, turn, trim(lower(regexp_replace(u, '\s+', ' ', 'g'))) FROM (SELECT conv_id, turn, unnest(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n\s*\n'))) AS u FROM m)),
+        cut AS (SELECT a.conv_id, a.turn, back, unnest(range(1, len(p) + 1)) AS k, p FROM m AS a JOIN
+                (SELECT conv_id, turn, list_filter(list_transform(string_split_regex(text, '\n\s*\n'), lambda x: trim(lower(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: x <> '') AS p FROM m WHERE plain IS NOT NULL) AS b
+                ON a.conv_id = b.conv_id JOIN (VALUES (1), (2)) AS v(back) ON b.turn + back = a.turn),
+        quotes AS (SELECT conv_id, turn, back, k, p[k] AS passage FROM cut),
+        linked AS (SELECT q.conv_id, q.turn, back, k, min(u.turn) AS up FROM quotes AS q LEFT JOIN units AS u ON u.conv_id = q.conv_id AND u.unit = q.passage AND u.turn < q.turn GROUP BY ALL),
+        best AS (SELECT conv_id, turn, count(*) AS n_quotes, count(up) AS n_linked, arg_min(up, (back, k)) FILTER (up IS NOT NULL) AS up FROM linked GROUP BY 1, 2),
+        tree AS (SELECT m.conv_id, m.turn, m.role, m.text, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, up FROM m LEFT JOIN best USING (conv_id, turn)),
+        walk AS (SELECT conv_id, turn, turn AS root, 0 AS depth, [turn] AS path FROM tree WHERE up IS NULL
+                 UNION ALL SELECT t.conv_id, t.turn, w.root, w.depth + 1, list_append(w.path, t.turn) FROM tree AS t JOIN walk AS w ON t.conv_id = w.conv_id AND t.up = w.turn)
+        SELECT t.conv_id, t.turn, t.role, trim(coalesce(t.text, ''), chr(10)) AS text, n_quotes, n_linked, CASE WHEN up IS NOT NULL THEN t.conv_id END AS reply_conv, up AS reply_turn,
+               t.conv_id AS root_conv, root AS root_turn, depth::BIGINT AS depth, row_number() OVER (PARTITION BY t.conv_id, root ORDER BY path) - 1 AS place
+        FROM tree AS t JOIN walk AS w ON t.conv_id = w.conv_id AND t.turn = w.turn""",
     "op6_secret_scan": _spans_sql(),
     "op10_license_dice": _licenses_sql(),
     "op7_url_trie": r"""

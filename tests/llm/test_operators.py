@@ -157,7 +157,7 @@ def test_quotes(spark):
         (3, 0, "u", "a\n> b\nc"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("key", F.lit(1)).withColumn("depth", F.lit("x"))
-    got = {(r.conv_id, r.turn): r for r in quote_links.reply_order(df).collect()}
+    got = {(r.conv_id, r.turn): r for r in quote_links.reply_order(df, far_words=1).collect()}
     assert quote_links.reply_order(df).count() == len(rows)
     link = {k: (r.reply_conv, r.reply_turn, r.root_conv, r.root_turn, r.depth) for k, r in got.items()}
     assert link[1, 0] == (None, None, 1, 0, 0)
@@ -174,7 +174,7 @@ def test_quotes(spark):
 def test_quote_chain(spark):
     rows = [(1, k, "u", (f"> word{k - 1} said\n" if k else "") + f"word{k} said") for k in range(40)]
     got = quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert {r.turn: r.depth for r in got} == {k: k for k in range(40)} and {r.root_turn for r in got} == {0}
+    assert {r.turn: (r.depth, r.place) for r in got} == {k: (k, k) for k in range(40)} and {r.root_turn for r in got} == {0}
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert quote_links.reply_order(none).count() == 0
 
@@ -186,13 +186,92 @@ def test_partial_quotes(spark):
         (1, 2, "u", "> are you sure?\nwell"),
         (1, 3, "a", "> Are you sure? Yes,\n> I am.\nso"),
         (1, 4, "u", "> first line\n> third line\nx"),
-        (2, 0, "u", "> third line\n> fourth\ny"),
+        (2, 0, "u", "> second line\n> third line\n> fourth\ny"),
         (2, 1, "a", "> line third\nz"),
+        (2, 2, "u", "> third line\n> fourth\nshort"),  # three words reach no other conversation
     ]
     got = quote_links.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     link = {(r.conv_id, r.turn): (r.n_linked, r.reply_conv, r.reply_turn) for r in got}
     assert [link[1, k] for k in (1, 2, 3)] == [(1, 1, 0)] * 3 and link[2, 0] == (1, 1, 0)
-    assert link[1, 4] == link[2, 1] == (0, None, None)
+    assert link[1, 4] == link[2, 1] == link[2, 2] == (0, None, None)
+
+
+def brute_threads(rows, far_words):
+    """{(conv, turn): (text, n_quotes, n_linked, reply, root, depth, place)} in plain code."""
+    plain = lambda text: " ".join(text.split()).casefold()
+    units, runs, quotes, own = {}, {}, {}, {}
+    for conv, turn, _, text in rows:
+        lines, spoken, parts = [], [], []
+        for line in (text or "").split("\n"):
+            bare, level = line.lstrip(" \t"), 0
+            while bare.startswith(">"):
+                bare, level = bare[1:].lstrip(" \t"), level + 1
+            lines.append((level, bare if level else line))
+        for k, (level, line) in enumerate(lines):
+            if level == 0:
+                spoken.append(line)
+            elif line.strip() and k and lines[k - 1][0] == level and lines[k - 1][1].strip():
+                parts[-1][1].append(line)
+            elif line.strip():
+                parts.append((level, [line]))
+        key = conv, turn
+        own[key] = "\n".join(spoken).strip("\n")
+        paragraphs = [[]]
+        for line in spoken:
+            paragraphs = [*paragraphs[:-1], [*paragraphs[-1], line]] if line.strip() else [*paragraphs, []]
+        units[key] = {plain(x) for x in ["\n".join(spoken), *spoken, *map("\n".join, paragraphs)]} - {""}
+        quotes[key] = [(level, at, plain("\n".join(x))) for at, (level, x) in enumerate(parts)]
+        words = [(w, k == len(ws) - 1 or w.rstrip("\"'”’)]")[-1:] in tuple(".!?…")) for line in own[key].split("\n") for ws in [line.split()] for k, w in enumerate(ws)]
+        cuts = [0, *(k + 1 for k, (_, last) in enumerate(words) if last)]
+        runs[key] = {plain(" ".join(w for w, _ in words[a:b])) for a in cuts for b in cuts if a < b}
+
+    def first(said, key, passage):
+        near = min((k for k in said if k[0] == key[0] and passage in said[k]), default=key)
+        far = min((k for k in said if passage in said[k]), default=key)
+        return near if near < key else far if far < key and len(passage.split()) >= far_words else None
+
+    ups = {key: [(level, at, first(units, key, p) or first(runs, key, p)) for level, at, p in quotes[key]] for key in quotes}
+    reply = {key: min((x for x in found if x[2]), default=(0, 0, None))[2] for key, found in ups.items()}
+    out = {}
+
+    def visit(key, root, depth, place):
+        out[key] = own[key], len(ups[key]), sum(x[2] is not None for x in ups[key]), reply[key], root, depth, place
+        place += 1
+        for child in sorted(k for k in reply if reply[k] == key):
+            place = visit(child, root, depth + 1, place)
+        return place
+
+    for key in [k for k in reply if reply[k] is None]:
+        visit(key, key, 0, 0)
+    return out
+
+
+def test_threads_by_brute_force(spark):
+    rng = random.Random(21)
+    sentences = ["One two three. Four five six seven.", "Yes.", "red green\nblue white black grey", "a b c d e f", "It is (so).\n\nIs it not? It is.", "é É ß"]
+    said, rows = [], []
+    for n in range(150):
+        own = "\n".join(rng.sample(sentences, rng.randint(0, 3))) + rng.choice(["", f"\nown words of number {n}."])
+        quoted = ""
+        for _ in range(rng.randint(0, 2) if said else 0):
+            lines = rng.choice(said).split("\n")
+            a = rng.randrange(len(lines))
+            quoted += "".join(rng.choice(["> ", ">> ", "> > ", ">"]) * 1 + x.replace(" ", "  ") + "\n" for x in lines[a : rng.randint(a + 1, len(lines))])
+        said.append(own)
+        rows.append((n % 9, n // 9, "u", rng.choice([quoted + own, quoted + own, own + "\n" + quoted])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("place", F.lit("x")).withColumn("left", F.lit(1))
+    for far_words in (5, 1):
+        got = {(r.conv_id, r.turn): (r.text, r.n_quotes, r.n_linked, None if r.reply_conv is None else (r.reply_conv, r.reply_turn), (r.root_conv, r.root_turn), r.depth, r.place) for r in quote_links.reply_order(df, far_words=far_words).collect()}
+        want = brute_threads(rows, far_words)
+        assert got == want and max(x[5] for x in want.values()) > 3 and len({x[4] for x in want.values()}) > 5
+
+
+def test_mailed(spark):
+    rows = [(1, 0, "u", "a\n\nb"), (1, 1, "a", "c"), (1, 2, "u", None), (1, 3, "a", "d"), (None, 0, "u", "e"), (2, 1, "u", "f"), (2, 2, "u", " "), (2, 3, "u", "g"), (1, 1, "a", "z")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("_said1", F.lit("own"))
+    got = sorted((r.conv_id or 0, r.turn, r.text) for r in quote_links.mailed(df).collect() if r.text is not None)
+    assert got == [(0, 0, "e"), (1, 0, "a\n\nb"), (1, 1, "> a\n> \n> b\nc"), (1, 1, "> a\n> \n> b\nz"), (1, 3, ">> c\nd"), (2, 1, "f"), (2, 2, "> f\n "), (2, 3, ">> f\ng")]
+    assert quote_links.mailed(df).columns == df.columns and quote_links.mailed(df).count() == len(rows)
 
 
 # 4
