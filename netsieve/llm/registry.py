@@ -121,16 +121,23 @@ def _spans_sql() -> str:
 
 
 def _licenses_sql() -> str:
-    templates = ", ".join(f"('{name}', {k}, [{', '.join(f'$${b}$$' for b in license_dice.bigrams_of(notice))}])" for k, (name, notice) in enumerate(license_dice.TEMPLATES))
+    """Every unit against every template, with no pruning but by size."""
+    listed = ", ".join(f"('{name}', $t${text}$t$)" for name, text in license_dice.templates())
+    plain = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    cut = "string_split(regexp_replace(trim(regexp_replace({}, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '([.!?:]) ', '\\1' || chr(1), 'g'), chr(1))"
+    pairs = "list_distinct(list_transform(range(1, len({0})), lambda k: {0}[k] || ' ' || {0}[k + 1]))"
     return f"""
-        WITH templates AS (SELECT * FROM (VALUES {templates}) AS v(license, k, b)),
+        WITH given AS (SELECT DISTINCT license, x FROM (VALUES {listed}) AS v(license, x)),
+        templates AS (SELECT license, {pairs.format('w')} AS b, n FROM (SELECT license, string_split({plain.format('x')}, ' ') AS w, len({cut.format('x')}) AS n FROM given)),
         texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-        parts AS (SELECT r, unnest(list_concat(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[ \\t]*\\n')), [t])) AS p FROM texts),
-        units AS (SELECT DISTINCT r, trim(regexp_replace(lower(p), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS u FROM parts),
-        words AS (SELECT r, u, string_split(u, ' ') AS w FROM units WHERE u LIKE '% %'),
-        sets AS (SELECT r, u, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS a FROM words),
-        met AS (SELECT r, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets JOIN templates ON len(a) * 3 <= len(b) * 5 AND len(b) * 3 <= len(a) * 5),
-        best AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(max(dice), 9) AS best_dice, count(*) AS n FROM met WHERE dice >= 0.8 GROUP BY r)
+        parts AS (SELECT r, 0 AS run, unnest(list_concat(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[ \\t]*\\n')), [t])) AS p FROM texts
+                  UNION ALL SELECT r, n AS run, array_to_string(s[k:k + n - 1], ' ') FROM (SELECT r, s, n, unnest(range(1, len(s) - n + 2)) AS k FROM (SELECT r, {cut.format('t')} AS s FROM texts) JOIN (SELECT DISTINCT n FROM templates) ON n <= len(s))),
+        units AS (SELECT DISTINCT r, run, {plain.format('p')} AS u FROM parts),
+        words AS (SELECT r, run, u, string_split(u, ' ') AS w FROM units WHERE u LIKE '% %'),
+        sets AS (SELECT r, run, u, {pairs.format('w')} AS a FROM words),
+        met AS (SELECT r, u, license, 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice FROM sets JOIN templates ON run IN (0, n) AND len(a) * 3 <= len(b) * 5 AND len(b) * 3 <= len(a) * 5),
+        chosen AS (SELECT r, u, arg_min(license, (-dice, license)) AS license, max(dice) AS dice FROM met WHERE dice >= 0.8 GROUP BY r, u),
+        best AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, round(max(dice), 9) AS best_dice, count(*) AS n FROM chosen GROUP BY r)
         SELECT doc_id, coalesce(licenses, '') AS licenses, best_dice, coalesce(n, 0) AS n_matches FROM texts LEFT JOIN best USING (r)"""
 
 

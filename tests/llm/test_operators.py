@@ -695,49 +695,60 @@ def test_poisson_is_poisson(spark):
 # 10
 
 
-def brute_licenses(text):
+def brute_licenses(text, given=None):
     import re
 
-    text = text or ""
-    units = {" ".join(license_dice.words_of(u)) for u in [*text.split("\n"), *re.split("\n[ \t]*\n", text), text]}
+    text, given = text or "", given or license_dice.templates()
+    cut = lambda t: re.sub("([.!?:]) ", "\\1\1", " ".join(t.split())).split("\1")
+    own = cut(text)
+    plain = lambda u: " ".join(license_dice.words_of(u))
+    always = {plain(u) for u in [*text.split("\n"), *re.split("\n[ \t]*\n", text), text]}
+    runs = {n: {plain(" ".join(own[k : k + n])) for k in range(len(own) - n + 1)} for n in {len(cut(notice)) for _, notice in given}}
+    sets = [(name, set(license_dice.bigrams_of(notice)), len(cut(notice))) for name, notice in given]
     found = []
-    for unit in units:
+    for unit in always.union(*runs.values()):
         a = set(license_dice.bigrams_of(unit))
-        for name, notice in license_dice.TEMPLATES:
-            b = set(license_dice.bigrams_of(notice))
-            dice = 2 * len(a & b) / (len(a) + len(b))
-            if dice >= 0.8:
-                found.append((name, dice))
+        dice = [(2 * len(a & b) / (len(a) + len(b)), name) for name, b, n in sets if b and (unit in always or unit in runs[n])]
+        best = max((d for d, _ in dice), default=0)
+        if best >= 0.8:
+            found.append((min(name for d, name in dice if d == best), best))
     return ",".join(sorted({n for n, _ in found})), round(max(d for _, d in found), 9) if found else None, len(found)
 
 
 def test_licenses(spark):
-    long = license_dice.TEMPLATES[1][1]
+    whole = dict(license_dice.templates())
+    long = license_dice.NOTICES[1][1]
     texts = [
         None, "", "license", "words\nReleased under the MIT License.\nmore", "RELEASED  under the---mit license", "Released under an MIT License", long, long.replace(" ", "\n", 9), long[: len(long) // 2], prose(200) + "\n\n" + long + "\n\n" + prose(50),
         "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "the license " * 500, prose(20000) + "\nThis work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY 4.0 and more words",
+        "This package was written in 2019. Released under the MIT License. See the file for details.", "MIT License\n\nCopyright (c) 2019 A. Nobody\n\n" + whole["MIT"], "Notes: some words. And more.\n" + whole["ISC"] + "\nThe end. It is.",
+        prose(300) + ".\n" + whole["GPL-2.0"] + "\n" + prose(300), whole["LGPL-2.1"].replace("\n", " "), "a\1b. c", whole["BSD-2-Clause"],
     ]
-    docs = documents(spark, [*enumerate(texts), (3, texts[3])]).withColumn("licenses", F.lit(1)).withColumn("_found", F.lit(1))
-    got = license_dice.scan_licenses(docs).collect()
-    assert len(got) == len(texts) + 1
-    for row in got:
-        assert (row.licenses, row.best_dice, row.n_matches) == brute_licenses(texts[row.doc_id]), texts[row.doc_id]
-    assert {r.doc_id for r in license_dice.without_licenses(docs, {"MIT"}).collect()} >= {0, 1, 3}
+    docs = documents(spark, [*enumerate(texts), (3, texts[3])]).withColumn("licenses", F.lit(1)).withColumn("_row", F.lit(1)).withColumn("h1", F.lit("x"))
+    want = {k: brute_licenses(t) for k, t in enumerate(texts)}
+    for most in (license_dice.MOST_BYTES, 0):
+        got = license_dice.scan_licenses(docs, most_bytes=most).collect()
+        assert len(got) == len(texts) + 1
+        for row in got:
+            assert (row.licenses, row.best_dice, row.n_matches) == want[row.doc_id], texts[row.doc_id]
+    assert [want[k][0] for k in (14, 15, 16, 17, 20)] == ["MIT", "MIT", "ISC", "GPL-2.0", "BSD-2-Clause"] and "LGPL-2.1" in want[18][0]
+    kept = license_dice.without_licenses(docs, {"MIT"})
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted([k for k in want if want[k][0] in ("", "MIT")] + [3])
     assert license_dice.scan_licenses(empty(spark)).count() == 0
-    none = license_dice.scan_licenses(docs, templates=())
-    assert {r.licenses for r in none.collect()} == {""}
-
-
-def test_license_paragraphs(spark):
-    mit = """MIT License\n\nCopyright (c) 2019 A. Nobody\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."""
-    lesser = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
-    texts = [mit, lesser, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
-    got = {r.doc_id: r for r in license_dice.scan_licenses(documents(spark, [*enumerate(texts)])).collect()}
-    assert got[0].licenses == "MIT" and [got[k].best_dice for k in range(3)] == [1.0] * 3
-    assert "LGPL-2.1" in got[1].licenses.split(",") and "CC-BY-NC-ND-4.0" in got[2].licenses.split(",")
-    assert all((r.licenses, r.best_dice, r.n_matches) == brute_licenses(texts[k]) for k, r in got.items())
+
+
+def test_license_tables(spark):
+    """Templates as a table: none, null and blank ones, more than any plan could hold as literals, ties."""
+    docs = documents(spark, [(1, "alpha beta gamma delta epsilon"), (2, None), (3, "x1 y77 z77 w77 end")])
+    table = lambda rows: spark.createDataFrame(rows, "license string, text string")
+    assert {r.licenses for r in license_dice.scan_licenses(docs, given=table([])).collect()} == {""}
+    odd = [(None, "alpha beta gamma delta epsilon"), ("e", None), ("f", ""), ("g", "alpha"), ("z", "alpha beta gamma delta epsilon"), ("b", "Alpha, beta gamma: delta epsilon!")]
+    many = odd + [(f"n{k}", f"x{k % 7} y{k} z{k} w{k} end") for k in range(1500)]
+    for most in (license_dice.MOST_BYTES, 0):
+        got = {r.doc_id: (r.licenses, r.best_dice) for r in license_dice.scan_licenses(docs, given=table(many), most_bytes=most).collect()}
+        assert got == {1: ("b", 1.0), 2: ("", None), 3: ("", None)}  # three of four bigrams are 0.75
+    near = {r.doc_id: r.licenses for r in license_dice.scan_licenses(docs, given=table(many), least=0.7).collect()}
+    assert near == {1: "b", 2: "", 3: "n77"}
 
 
 def test_bpe_columns(spark):
