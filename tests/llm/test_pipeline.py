@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import zstandard
+from pyspark.sql import functions as F
 from test_operators import DOCS, SECRETS, brute_components, brute_print, counts, prose, reference_codec
 
 import corpus_pipeline
@@ -32,6 +33,7 @@ def fixture():
     secret = prose(90, 99) + " " + SECRETS[3] + " tail"
     rows += [(90, secret, "en", "src2", len(secret)), (91, secret, "en", "src2", len(secret))]
     rows += [(92, None, "en", "src1", None), (93, "", None, None, 0), (94, "again " * 300, "en", "src1", 1800), (None, prose(77, 7), "en", "src1", 1), (5, rows[5][1], "en", "src2", 9)]
+    rows += [(7, prose(88, 55), "en", "src0", 2), (None, prose(77, 7), "en", "src2", 3), (None, rows[9][1], "en", "src1", 4), (7, rows[0][1], "en", "src1", 5)]  # one id with three texts, copies without an id
     return rows
 
 
@@ -87,9 +89,16 @@ def test_stages_against_plain_code(spark):
     assert bag(docs) == Counter(rows) and len(rows) > 80
 
     docs = stage["dedup"](spark, spark.createDataFrame(rows, DOCS), "")
-    root = brute_components({r[0]: brute_print(r[1]) for r in rows if r[0] is not None})
+    prints = dict(enumerate(brute_print(r[1]) for r in rows))
+    groups = {}
+    for k, top in brute_components(prints).items():
+        groups.setdefault(top, []).append(rows[k])
     got = bag(docs)
-    assert {r[0] for r in got} == {None, *root.values()} and sum(got.values()) == len(set(root.values())) + 1 and set(got) <= set(rows)
+    assert sum(got.values()) == len(groups) and set(got.values()) == {1}
+    for group in groups.values():  # one row of each, that of the smallest id
+        (kept,) = [r for r in group if r in got]
+        assert kept[0] == min((r[0] for r in group if r[0] is not None), default=None)
+    assert (7, prose(88, 55), "en", "src0", 2) in got and sum(r[0] is None for r in got) == 1
     rows = sorted(got, key=str)
 
     docs = stage["secrets"](spark, spark.createDataFrame(rows, DOCS), "")
@@ -107,6 +116,23 @@ def test_stages_against_plain_code(spark):
     assert bag(docs) == Counter((r[0], *digest(r[1])) for r in rows)
 
 
+def test_run_on_other_columns(spark, tmp_path):
+    """Columns of the names that stages use inside, labels for some rows, and a null in every column."""
+    names = ("text_hash", "blob", "_row", "copy", "ids", "kept", "quality", "h1")
+    docs = spark.createDataFrame([*fixture(), (None,) * 5], DOCS)
+    for name in names:
+        docs = docs.withColumn(name, F.lit(name))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(60)] + [(None, 0), (0, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}")
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 20
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"file://{tmp_path}")
+        assert kept.columns == docs.columns
+    assert kept.where(" AND ".join(f"{name} = '{name}'" for name in names)).count() == kept.count() == out.count()
+
+
 def test_run_on_nothing(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
