@@ -10,15 +10,16 @@ license inside a longer text are units too.
 The coefficient t asks for c = t / (2 - t) |B| common bigrams at least, and for
 |A| between c and (2 - t) / t |B|. So templates are pruned in three steps, all
 exact. Of any |B| - c + 1 bigrams of a template one must occur in the text: the
-longest ones are looked up by one equality join. Of the templates that remain
-at least c bigrams must occur in the text. And a unit is only compared to
-templates whose size its own allows. Of the templates that reach t in a unit
-the one with the highest coefficient names its license.
+longest ones are its anchors. Of the templates whose anchors a text holds at
+least c bigrams must occur in it. And a unit is only compared to templates
+whose size its own allows. Of the templates that reach t in a unit the one with
+the highest coefficient names its license.
 
-Templates are a table of any length. Its bigrams are measured, and broadcast
-up to ``MOST_BYTES``; a longer table is joined by shuffle. Texts that no
-template's bigrams lead to never leave their task; the others meet by the hash
-of the text, copies counting once.
+Templates are a table of any length. Up to ``MOST_ANCHORS`` anchors are a set
+of values in the plan, and a text that holds none of them never leaves its
+task; anchors of a longer table are joined to all bigrams. Tables are measured,
+and broadcast up to ``MOST_BYTES`` or else joined by shuffle. Texts with
+anchors meet by their hash, copies counting once.
 
 Defined results: null, empty and blank texts have no license; templates
 without a name or two words are left out; a unit of one word matches nothing; a
@@ -61,6 +62,9 @@ NOTICES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+#: Anchors that are values of a plan.
+MOST_ANCHORS = 50_000
+
 BLANKS = r"[ \t\n\x0B\f\r]+"
 
 
@@ -135,7 +139,7 @@ def _hashed(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def find(docs: DataFrame, text_col: str = "text", given: DataFrame | None = None, least: float = 0.8, most_bytes: int = MOST_BYTES) -> DataFrame:
+def find(docs: DataFrame, text_col: str = "text", given: DataFrame | None = None, least: float = 0.8, most_bytes: int = MOST_BYTES, most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """(h1, h2, license, dice), one row for each unit of a text that reaches ``least``; texts are named by their hash, copies counting once."""
     spark = docs.sparkSession
     tables = Tables(spark, "licenses")
@@ -145,14 +149,20 @@ def find(docs: DataFrame, text_col: str = "text", given: DataFrame | None = None
     size = F.lit(64) + F.coalesce(F.aggregate("bigrams", F.lit(0), lambda a, b: a + F.length(b) + 24), F.lit(0))
     # of the longest bigrams so many that a unit without any of them stays under the coefficient
     ordered = F.array_sort("bigrams", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    anchors = known.select("t", F.explode(F.slice(ordered, 1, F.col("n") - F.col("needed") + 1)).alias("pair"))
-    anchors = broadcast_if_small(tables.write(anchors, "anchors"), F.length("pair") + 24, most_bytes)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    pairs = docs.select(*_hashed(F.col(text_col)), F.explode(_pairs(normalised(text))).alias("pair"))
-    met = tables.write(pairs.join(anchors, "pair").select(*HASH, "t").distinct(), "met")
-    texts = docs.select(*_hashed(F.col(text_col)), text.alias("text")).join(met.select(*HASH).distinct(), list(HASH), "left_semi")
+    anchors = tables.write(known.select("t", F.explode(F.slice(ordered, 1, F.col("n") - F.col("needed") + 1)).alias("pair")), "anchors")
+    listed = [r["pair"] for r in anchors.select("pair").distinct().limit(most_anchors + 1).collect()]
+    anchors = broadcast_if_small(anchors, F.length("pair") + 24, most_bytes)
+    rows = docs.select(*_hashed(F.col(text_col)), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    plain = normalised(F.col("text"))
+    if len(listed) <= most_anchors:  # words are letters and digits: they need no escapes
+        values = ", ".join(f"'{pair}'" for pair in sorted(listed)) or "NULL"
+        rows = rows.withColumn("pairs", _pairs(plain)).where(F.expr(f"exists(pairs, p -> p IN ({values}))")).drop("pairs")
+    else:
+        met = rows.select(*HASH, F.explode(_pairs(plain)).alias("pair")).join(anchors, "pair").select(*HASH).distinct()
+        rows = rows.join(tables.write(met, "hashes"), list(HASH), "left_semi")
     # copies meet in the map-side part of the aggregate, so a text of very many copies is no hot group
-    texts = tables.write(texts.groupBy(*HASH).agg(F.first("text").alias("text")), "texts")
+    texts = tables.write(rows.groupBy(*HASH).agg(F.first("text").alias("text")), "texts")
+    met = tables.write(texts.select(*HASH, F.explode(bigrams(plain)).alias("pair")).join(anchors, "pair").select(*HASH, "t").distinct(), "met")
     small = broadcast_if_small(known, size, most_bytes)
     own = texts.select(*HASH, bigrams(normalised(F.col("text"))).alias("own")).join(met, list(HASH)).join(small, "t")
     hit = tables.write(own.where(F.size(F.array_intersect("own", "bigrams")) >= F.col("needed")).select(*HASH, "t", "sentences", "needed"), "hit")
@@ -177,12 +187,12 @@ def _join(rows: DataFrame, found: DataFrame, most_bytes: int) -> DataFrame:
     return rows.join(broadcast_if_small(found, size, most_bytes), list(HASH), "left")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None, least: float = 0.8, most_bytes: int = MOST_BYTES) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", given: DataFrame | None = None, least: float = 0.8, most_bytes: int = MOST_BYTES, most_anchors: int = MOST_ANCHORS) -> DataFrame:
     """(id, licenses, best_dice, n_matches): names by comma (empty if none), the highest coefficient (null if none), units that matched.
 
     given: a table of templates (license, text), or None for those of ``templates()``.
     """
-    found = _by_text(find(docs, text_col, given, least, most_bytes))
+    found = _by_text(find(docs, text_col, given, least, most_bytes, most_anchors))
     rows = _join(docs.select(F.col(id_col), *_hashed(F.col(text_col))), found, most_bytes)
     return rows.select(id_col, F.coalesce(F.array_join("names", ","), F.lit("")).alias("licenses"), F.col("dice").alias("best_dice"), F.coalesce("units", F.lit(0).cast("long")).alias("n_matches"))
 

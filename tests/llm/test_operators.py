@@ -726,8 +726,8 @@ def test_licenses(spark):
     ]
     docs = documents(spark, [*enumerate(texts), (3, texts[3])]).withColumn("licenses", F.lit(1)).withColumn("_row", F.lit(1)).withColumn("h1", F.lit("x"))
     want = {k: brute_licenses(t) for k, t in enumerate(texts)}
-    for most in (license_dice.MOST_BYTES, 0):
-        got = license_dice.scan_licenses(docs, most_bytes=most).collect()
+    for most, anchors in ((license_dice.MOST_BYTES, license_dice.MOST_ANCHORS), (0, 0)):
+        got = license_dice.scan_licenses(docs, most_bytes=most, most_anchors=anchors).collect()
         assert len(got) == len(texts) + 1
         for row in got:
             assert (row.licenses, row.best_dice, row.n_matches) == want[row.doc_id], texts[row.doc_id]
