@@ -41,6 +41,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -153,19 +154,21 @@ def _sayers(quoted: DataFrame, said: DataFrame, tables: Tables, name: str, far_w
 
 
 def _roots(links: DataFrame, tables: Tables) -> DataFrame:
-    """(key, root, depth) for each linked message. links: (key, up), up < key, one row for each key."""
-    now = tables.write(links.select("key", F.col("up").alias("root"), F.lit(1).cast("long").alias("depth")), "hops_0")
-    k = 0
-    while True:
-        above = now.select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        joined = now.join(above, "root", "left")
+    """(key, root, depth) for each linked message. links: (key, up), up < key, one row for each key.
+
+    A round only moves messages that have not reached their root; the others are there to be looked up.
+    """
+    moving = tables.write(links.select("key", F.col("up").alias("root"), F.lit(1).cast("long").alias("depth")), "hops_0")
+    done, k = moving.limit(0), 0
+    while not moving.isEmpty():
         k += 1
+        above = moving.unionByName(done).select(F.col("key").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
+        joined = moving.join(above, "root", "left")
         step = joined.select("key", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNotNull().alias("went"))
         now = tables.write(step, f"hops_{k}")
-        if k > 1:
-            tables.drop(f"hops_{k - 1}")
-        if now.where("went").isEmpty():
-            return now.select("key", "root", "depth")
+        done = done.unionByName(now.where("NOT went").drop("went"))
+        moving = now.where("went").drop("went")
+    return done
 
 
 def _next_siblings(links: DataFrame, tables: Tables) -> DataFrame:
@@ -181,26 +184,33 @@ def _next_siblings(links: DataFrame, tables: Tables) -> DataFrame:
     return numbered.join(following, "at", "left").select("key", "up", F.when(F.col("of") == F.col("up"), F.col("sibling")).alias("sibling"))
 
 
-def _places(links: DataFrame, tables: Tables) -> DataFrame:
-    """(key, left): how many messages of its thread the walk enters from each message on, for messages that have or are replies.
+def _places(links: DataFrame, roots: DataFrame, tables: Tables) -> DataFrame:
+    """(key, place) of the messages that have or are replies.
 
-    links: (key, up), up < key, one row for each key.
+    links: (key, up), up < key, one row for each key; roots: (key, root, depth) of them. A thread of n messages is a
+    walk of 2n steps and so takes log2(2n) rounds; a round holds only threads that still need it.
     """
     siblings = tables.write(_next_siblings(links, tables), "siblings")
     children = links.groupBy(F.col("up").alias("key")).agg(F.min("key").alias("child"))
-    nodes = siblings.join(children, "key", "full")
+    sizes = roots.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    nodes = siblings.join(children, "key", "full").join(roots.select("key", "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    nodes = tables.write(nodes.join(sizes, "root"), "nodes")
+    rounds = F.ceil(F.log2(2 * F.col("size"))).cast("int").alias("rounds")
     enter = lambda c: F.struct(F.col(c).alias("key"), F.lit(False).alias("left"))
     leave = lambda c: F.struct(F.col(c).alias("key"), F.lit(True).alias("left"))
     entering = F.struct(enter("key").alias("step"), F.coalesce(F.when(F.col("child").isNotNull(), enter("child")), leave("key")).alias("next"), F.lit(1).cast("long").alias("n"))
     leaving = F.struct(leave("key").alias("step"), F.when(F.col("sibling").isNotNull(), enter("sibling")).when(F.col("up").isNotNull(), leave("up")).alias("next"), F.lit(0).cast("long").alias("n"))
-    now = tables.write(nodes.select(F.explode(F.array(entering, leaving)).alias("s")).select("s.*"), "walk_0")
-    k = 0
-    while not now.where("next IS NOT NULL").isEmpty():
+    now = tables.write(nodes.select(rounds, "size", F.explode(F.array(entering, leaving)).alias("s")).select("rounds", "size", "s.*"), "walk_0")
+    most = now.agg(F.coalesce(F.max("rounds"), F.lit(0))).first()[0]
+    parts = [now.limit(0)]
+    for k in range(1, most + 1):
         after = now.select(F.col("step").alias("next"), F.col("next").alias("then"), F.col("n").alias("more"))
-        k += 1
-        now = tables.write(now.join(after, "next", "left").select("step", F.col("then").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), f"walk_{k}")
-        tables.drop(f"walk_{k - 1}")
-    return now.where(~F.col("step.left")).select(F.col("step.key").alias("key"), F.col("n").alias("left"))
+        moved = now.join(after, "next", "left").select("rounds", "size", "step", F.col("then").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        now = tables.write(moved, f"walk_{k}")
+        parts.append(now.where(F.col("rounds") == k))
+        now = now.where(F.col("rounds") > k)
+    walked = reduce(DataFrame.unionByName, parts)
+    return walked.where(~F.col("step.left")).select(F.col("step.key").alias("key"), (F.col("size") - F.col("n")).alias("place"))
 
 
 def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", far_words: int = FAR_WORDS) -> DataFrame:
@@ -227,10 +237,8 @@ def reply_order(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     best = tables.write(best.select("key", "n_quotes", "n_linked", F.col("best.up").alias("up")), "links")
     links = best.where("up IS NOT NULL").select("key", "up")
     roots = tables.write(_roots(links, tables), "roots")
-    lefts = tables.write(_places(links, tables), "lefts")
-    sizes = lefts.select(F.col("key").alias("root"), F.col("left").alias("size"))
-    placed = best.join(roots, "key", "left").join(lefts, "key", "left").join(sizes, "root", "left")
-    placed = tables.write(placed.select("key", "n_quotes", "n_linked", "up", "root", "depth", (F.col("size") - F.col("left")).alias("place")), "placed")
+    places = tables.write(_places(links, roots, tables), "places")
+    placed = tables.write(best.join(roots, "key", "left").join(places, "key", "full"), "placed")
     out = rows.drop("said", "quoted").join(placed, "key", "left")
     root = F.coalesce("root", F.when(whole, F.col("key")))
     none = F.lit(0).cast("long")
