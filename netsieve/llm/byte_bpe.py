@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsieve.llm.shared import text_batches
+from netsieve.llm.shared import release, text_batches
 
 #: Greatest number of entries of each half of a memo, and bytes that are encoded or decoded at once.
-MEMO, SLICE = 200_000, 4 << 20
+MEMO, SLICE = 200_000, 1 << 20
 
 
 class Memo:
@@ -308,7 +308,10 @@ class ByteBpe:
             for texts in batches:
                 parts = [(ids, pack(ids), back.decode(ids)) for ids in map(own.encode, slices(texts))]
                 columns = [pa.concat_arrays(x) for x in zip(*parts, strict=True)] or [pa.array([], t) for t in (pa.list_(pa.int32()), pa.binary(), pa.binary())]
+                del parts
                 yield pa.StructArray.from_arrays(columns, ["ids", "packed", "decoded"])
+                del columns
+                release()
 
         return bpe_round_trip(F.col(text) if isinstance(text, str) else text)
 

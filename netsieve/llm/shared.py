@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +82,8 @@ def text_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
         spark.conf.set(name, str(TEXT_ROWS))
+
+
+def release() -> None:
+    """Give a worker's unused Arrow memory back, which its pool would keep beside the memory of its JVM."""
+    pa.default_memory_pool().release_unused()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from netsieve.llm.components import connected_components
-from netsieve.llm.shared import Tables, partitions, text_batches
+from netsieve.llm.shared import Tables, partitions, release, text_batches
 
 #: Shingles whose bits are counted at once, rows of fingerprints that one pass of the trie takes, pairs of nodes walked down at once, and pairs of leaves compared directly.
 SLICE, CHUNK, FRONT, LEAF = 1 << 15, 1 << 17, 1 << 19, 32
@@ -76,6 +76,7 @@ def simhash(text: Column | str, scheme: Scheme | None = None) -> Column:
     def fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([fingerprint(t.as_py(), scheme) for t in texts], pa.int64())
+            release()
 
     return fingerprints(F.col(text) if isinstance(text, str) else text)
 
