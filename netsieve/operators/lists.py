@@ -80,18 +80,30 @@ def inject(clean: DataFrame, noisy: DataFrame, group: str, native: DataFrame, sh
 
 
 def align(listed: DataFrame, found: DataFrame, key: str, name: str, session: str) -> DataFrame:
-    """Listed sessions with the found copy of each: the n-th of a key, in natural order, gets the n-th.
+    """Listed sessions with the found copy of each.
 
-    When copies run out, the found ones are used again from the first.
+    A copy of the same name and session is taken first. Of a key's other listed
+    sessions, in natural order of the name and then by session, the n-th gets the
+    n-th copy that is not taken; when these run out, all get the key's first copy.
     """
-    def ranked(rows: DataFrame) -> DataFrame:
-        order = [natural_key(F.col(c)) for c in (name, session)]
-        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    pair = [name, session]
+    copies = found.select(key, *pair).distinct()
+    natural = [natural_key(F.col(name)), F.col(session)]
 
-    copies = ranked(found.select(key, name, session)).select(key, F.col(name).alias(f"found_{name}"), F.col(session).alias(f"found_{session}"), F.col("_k").alias("_at"))
-    counts = found.groupBy(key).agg(F.count("*").alias("_copies"))
-    left = ranked(listed).join(counts, key, "left").withColumn("_at", F.pmod("_k", F.coalesce("_copies", F.lit(1))).cast("int"))
-    return left.join(copies, [key, "_at"], "left").drop("_k", "_at", "_copies")
+    def ranked(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*natural)))
+
+    def as_found(rows: DataFrame) -> DataFrame:
+        return rows.select(key, *[F.col(c).alias(f"found_{c}") for c in pair], *[c for c in rows.columns if c == "_k"])
+
+    same = listed.join(copies, [key, *pair], "left_semi").select("*", *[F.col(c).alias(f"found_{c}") for c in pair])
+    pending = ranked(listed.join(copies, [key, *pair], "left_anti"))
+    free = as_found(ranked(copies.join(same.select(key, *pair).distinct(), [key, *pair], "left_anti")))
+    place = F.struct(*[c.alias(f"_{k}") for k, c in enumerate(natural)])
+    first = copies.groupBy(key).agg(F.min_by(F.struct(*pair), place).alias("_first"))
+    rest = pending.join(free, [key, "_k"], "left").join(first, key, "left")
+    rest = rest.withColumns({f"found_{c}": F.when(F.col(f"found_{name}").isNotNull(), F.col(f"found_{c}")).otherwise(F.col("_first")[c]) for c in (session, name)})
+    return same.unionByName(rest.select(*same.columns))
 
 
 def round_robin(rows: DataFrame, group: str, n: int, seed: int, *identity: str) -> DataFrame:

@@ -63,15 +63,15 @@ PATTERNS = {
 }
 #: Rules that are removed by default to refine a dataset.
 DEFAULTS = {
-    "ustc16": "Aa_2 Aa_4 Aa_6 Aa_7 Cc_5 Cd_2 Bb_7",
-    "cic17": "Aa_2 Aa_4 Aa_6 Aa_7 Bb_5 Bb_8 Bb_9 Bb_10 Bb_11 Bb_12",
-    "cic18": "Aa_2 Aa_4 Aa_6 Aa_7 Bb_13 Bb_14 Bb_15 Bb_16 Bb_17 Bb_18 Bb_19 Bb_20 Bb_21 Bb_22 Bb_23",
-    "iot23": "Aa_2 Aa_4 Aa_6 Aa_7 Bb_24 Bb_25 Bb_26",
-    "vpn16": "Aa_1 Aa_2 Aa_4 Aa_5 Aa_6 Aa_7 Bb_1 Bb_2 Bb_3 Cc_1 Cc_2 Cc_3 Cc_5 Cd_2 Cd_3 Cd_4 De_1 De_2 De_3 De_4 Df_1",
-    "tor16": "Aa_1 Aa_2 Aa_4 Aa_5 Aa_6 Aa_7 Bb_1 Bb_2 Cc_1 Cc_2 Cc_3 Cc_5 Cd_2 Cd_3 Cd_4 De_1 De_3 De_4 Df_1",
-    "tls1.3": "Aa_2 Aa_4 Aa_6 Aa_7 Bb_4 Cc_1 Cc_2 Cc_3 Cc_4 Cc_5 Cd_1 Cd_2 Cd_3 Cd_4 De_1 De_2 De_3 De_4 Df_1",
-    "cispec": "Aa_2 Aa_4 Aa_5 Aa_6 Aa_7 Cc_1 Cc_2 Cc_3 Cc_4 Cc_5 Cd_1 Cd_2 Cd_3 Cd_4 Df_1",
-}
+    "ustc16": ("Aa_2", "Aa_4", "Aa_6", "Aa_7", "Cc_5", "Cd_2", "Bb_7"),
+    "cic17": ("Aa_2", "Aa_4", "Aa_6", "Aa_7", "Bb_5", "Bb_8", "Bb_9", "Bb_10", "Bb_11", "Bb_12"),
+    "cic18": ("Aa_2", "Aa_4", "Aa_6", "Aa_7", "Bb_13", "Bb_14", "Bb_15", "Bb_16", "Bb_17", "Bb_18", "Bb_19", "Bb_20", "Bb_21", "Bb_22", "Bb_23"),
+    "iot23": ("Aa_2", "Aa_4", "Aa_6", "Aa_7", "Bb_24", "Bb_25", "Bb_26"),
+    "vpn16": ("Aa_1", "Aa_2", "Aa_4", "Aa_5", "Aa_6", "Aa_7", "Bb_1", "Bb_2", "Bb_3", "Cc_1", "Cc_2", "Cc_3", "Cc_5", "Cd_2", "Cd_3", "Cd_4", "De_1", "De_2", "De_3", "De_4", "Df_1"),
+    "tor16": ("Aa_1", "Aa_2", "Aa_4", "Aa_5", "Aa_6", "Aa_7", "Bb_1", "Bb_2", "Cc_1", "Cc_2", "Cc_3", "Cc_5", "Cd_2", "Cd_3", "Cd_4", "De_1", "De_3", "De_4", "Df_1"),
+    "tls1.3": ("Aa_2", "Aa_4", "Aa_6", "Aa_7", "Bb_4", "Cc_1", "Cc_2", "Cc_3", "Cc_4", "Cc_5", "Cd_1", "Cd_2", "Cd_3", "Cd_4", "De_1", "De_2", "De_3", "De_4", "Df_1"),
+    "cispec": ("Aa_2", "Aa_4", "Aa_5", "Aa_6", "Aa_7", "Cc_1", "Cc_2", "Cc_3", "Cc_4", "Cc_5", "Cd_1", "Cd_2", "Cd_3", "Cd_4", "Df_1"),
+}
 EXCLUDED = {"cic17": ("damaged", "unlabeled", "double", "none"), "cic18": ("damaged", "double", "none"), "tor16": ("twitter", "aim", "google")}
 
 
@@ -264,7 +264,7 @@ def any_mark(df: DataFrame, codes: Iterable[str] | None = None) -> Column:
 
 
 def default_codes(dataset: str) -> list[str]:
-    return DEFAULTS[dataset].split()
+    return list(DEFAULTS[dataset])
 
 
 def report(marked: DataFrame) -> DataFrame:

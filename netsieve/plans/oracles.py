@@ -124,13 +124,15 @@ ORACLES["flagship"] = f"""WITH {_MARKS}, c AS (SELECT 'all' AS "group", t3 AS cl
 
 # Labels
 ORACLES["label_interval_join"] = """
-    WITH s AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS t0 FROM orders),
+    WITH s AS (SELECT o_orderkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE)::DOUBLE AS t FROM orders),
+    w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 40 <> 1 THEN t END AS t0, CASE WHEN o_orderkey % 40 <> 2 THEN t + CASE o_orderkey % 3 WHEN 0 THEN 2 ELSE 400 END END AS t1 FROM s),
     f AS (SELECT l_orderkey AS o_orderkey, date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE AS t, l_returnflag AS label FROM lineitem),
-    j AS (SELECT s.o_orderkey, t, label, t0, t0 + 400 AS t1, t BETWEEN t0 - 30 AND t0 + 430 AS inside, greatest(t0 - t, t - t0 - 400, 0) AS d FROM s LEFT JOIN f USING (o_orderkey)),
-    g AS (SELECT o_orderkey, count(DISTINCT label) FILTER (inside) AS n, coalesce(max(label) FILTER (inside AND label <> 'N'), max(label) FILTER (inside)) AS one, count(t) AS flows,
+    b AS (SELECT o_orderkey, t, label FROM f UNION ALL SELECT o_orderkey, t + 500, label FROM f),
+    j AS (SELECT w.o_orderkey, t, label, t0, t1, t BETWEEN t0 - 30 AND t1 + 30 AS inside, greatest(t0 - t, t - t1, 0) AS d FROM w LEFT JOIN b USING (o_orderkey)),
+    g AS (SELECT o_orderkey, bool_or(t0 IS NULL OR t1 IS NULL) AS damaged, count(DISTINCT label) FILTER (inside) AS n, coalesce(max(label) FILTER (inside AND label <> 'N'), max(label) FILTER (inside)) AS one, count(t) AS flows,
         arg_min(label, (d, t, label)) FILTER (t IS NOT NULL) AS nearest FROM j GROUP BY 1)
-    SELECT o_orderkey, CASE WHEN flows = 0 THEN 'unlabeled' WHEN n > 1 THEN 'double' WHEN n = 1 THEN one ELSE nearest END AS label,
-        CASE WHEN flows = 0 THEN 'unlabeled' WHEN n > 1 THEN 'double' WHEN n = 1 THEN 'inside' ELSE 'nearest' END AS how FROM g"""
+    SELECT o_orderkey, CASE WHEN damaged THEN 'damaged' WHEN flows = 0 THEN 'unlabeled' WHEN n > 1 THEN 'double' WHEN n = 1 THEN one ELSE nearest END AS label,
+        CASE WHEN damaged THEN 'damaged' WHEN flows = 0 THEN 'unlabeled' WHEN n > 1 THEN 'double' WHEN n = 1 THEN 'inside' ELSE 'nearest' END AS how FROM g"""
 _WINDOWS = ", ".join(f"({s}, {e}, {a}, {v}, '{x}')" for s, e, a, v, x in SCHEDULE)
 ORACLES["label_schedule_range"] = f"""
     WITH {P}, w AS (SELECT * FROM (VALUES {_WINDOWS}) AS v(s, e, attackers, victims, attack)),
@@ -157,10 +159,13 @@ ORACLES["content_key"] = f"""
     SELECT event_id, substr(sha1('tcp|' || least(x, y) || '|' || greatest(x, y) || '|' || us), 1, 16) AS content_key FROM e"""
 ORACLES["align_copies"] = """
     WITH d AS (SELECT md5(text) AS key, doc_id, 'f' || doc_id AS filename, 'tcp_' || (doc_id % 7) AS session_id FROM documents),
-    l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS k FROM d WHERE doc_id % 2 = 0),
-    f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY key) AS n FROM d WHERE doc_id % 3 <> 0),
-    n AS (SELECT DISTINCT key, n FROM f)
-    SELECT l.key, l.filename, l.session_id, f.filename AS found_filename, f.session_id AS found_session_id FROM l LEFT JOIN n ON l.key = n.key LEFT JOIN f ON f.key = l.key AND f.k = l.k % n.n"""
+    l AS (SELECT * FROM d WHERE doc_id % 2 = 0), f AS (SELECT * FROM d WHERE doc_id % 3 <> 0),
+    p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k FROM l WHERE doc_id NOT IN (SELECT doc_id FROM f)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS k FROM f WHERE doc_id NOT IN (SELECT doc_id FROM l)),
+    n AS (SELECT key, min(doc_id) AS doc_id FROM f GROUP BY 1),
+    a AS (SELECT doc_id, doc_id AS found FROM l WHERE doc_id IN (SELECT doc_id FROM f)
+          UNION ALL SELECT p.doc_id, coalesce(o.doc_id, n.doc_id) FROM p LEFT JOIN o ON o.key = p.key AND o.k = p.k LEFT JOIN n ON n.key = p.key)
+    SELECT l.key, l.filename, l.session_id, 'f' || found AS found_filename, 'tcp_' || (found % 7) AS found_session_id FROM l JOIN a USING (doc_id)"""
 
 
 def _crc_table() -> str:
@@ -247,7 +252,7 @@ ORACLES["flag_counts"] = "SELECT user_id, " + ", ".join(
 ORACLES["derived14"] = f"""
     WITH {_DIRECTION}, a AS (SELECT user_id, day, count(*) AS n, round(sum(value), 4) AS b, min(us) / 1e6 AS t0, max(us) / 1e6 AS t1 FROM p GROUP BY 1, 2),
     r AS (SELECT user_id, day, fwd_pkt, round(fwd_byte, 4) AS fb, bwd_pkt, round(bwd_byte, 4) AS bb FROM d)
-    SELECT user_id, day, round(greatest(t1 - t0, 0), 3) AS duration, round(b / (n + 1e-9), 3) AS mean_pkt_size, round(fwd_pkt / (n + 1e-9), 3) AS fwd_pkt_ratio, round(fb / (b + 1e-9), 3) AS fwd_byte_ratio,
+    SELECT user_id, day, round(greatest(t1 - t0, 0), 3) AS duration, CASE WHEN t1 > t0 THEN round(n / (t1 - t0 + 1e-9), 3) END AS pkt_rate, CASE WHEN t1 > t0 THEN round(b / (t1 - t0 + 1e-9), 3) END AS byte_rate, round(b / (n + 1e-9), 3) AS mean_pkt_size, round(fwd_pkt / (n + 1e-9), 3) AS fwd_pkt_ratio, round(fb / (b + 1e-9), 3) AS fwd_byte_ratio,
         round(fwd_pkt / (bwd_pkt + 1.0), 3) AS fwd_bwd_pkt_ratio, round(fb / (bb + 1.0), 3) AS fwd_bwd_byte_ratio FROM a JOIN r USING (user_id, day)"""
 ORACLES["header_bytes"] = """
     WITH v AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE event_id * 37 % 65536 END AS v FROM events)

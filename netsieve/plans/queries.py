@@ -148,10 +148,12 @@ def any_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def label_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date")).cast("double")
-    s = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("t0")).withColumn("t1", F.col("t0") + 400)
+    k = F.col("o_orderkey")
+    s = table(spark, sf_dir, "orders").select("o_orderkey", day("o_orderdate").alias("t0")).withColumn("t1", F.col("t0") + F.when(k % 3 == 0, 2).otherwise(400))
+    s = s.withColumns({"t0": F.when(k % 40 != 1, F.col("t0")), "t1": F.when(k % 40 != 2, F.col("t1"))})  # sessions without a time are damaged
     f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), day("l_shipdate").alias("t"), "l_returnflag")
     s, f = s.withColumn("k", F.col("o_orderkey")), f.withColumnRenamed("o_orderkey", "k")
-    return labels.interval_labels(s, f, ["k"], "o_orderkey", "t0", "t1", "t", "l_returnflag", benign="N", tolerance=30.0)
+    return labels.interval_labels(s, f, ["k"], "o_orderkey", "t0", "t1", "t", "l_returnflag", benign="N", tolerance=30.0, twin=500.0)
 
 
 SCHEDULE = [(1704060000, 1704070000, [1, 2, 3], [10, 11], "DoS"), (1704065000, 1704090000, [3, 4], [11, 12], "Bot"), (1704150000, 1704250000, [20, 21], [1, 30], "Scan")]
@@ -324,7 +326,8 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derived14(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session_direction(spark, sf_dir).join(session_accumulate(spark, sf_dir), SESSION)
     found = features.derived(F.col("pkt_count"), F.col("payload"), F.col("fwd_pkt"), F.col("fwd_byte"), F.col("bwd_pkt"), F.col("bwd_byte"), F.col("first_us") / 1e6, F.col("last_us") / 1e6)
-    del found["pkt_rate"], found["byte_rate"]  # of single packets these are counts over 1e-9
+    timed = F.col("last_us") > F.col("first_us")
+    found |= {name: F.when(timed, found[name]) for name in ("pkt_rate", "byte_rate")}  # of single packets these are counts over 1e-9
     return s.select(*SESSION, *[F.round(c, 3).alias(n) for n, c in found.items()])
 
 

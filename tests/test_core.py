@@ -130,6 +130,9 @@ def test_lists(spark):
     listed = spark.createDataFrame([("k", "b1", "tcp_9"), ("k", "b2", "tcp_9"), ("k", "b3", "tcp_9"), ("z", "c", "-")], "key string, filename string, session_id string")
     got = {r.filename: r.found_filename for r in lists.align(listed, copies, "key", "filename", "session_id").collect()}
     assert got == {"b1": "f2", "b2": "f10", "b3": "f2", "c": None}
+    names = lambda text: spark.createDataFrame([("k", n, "-") for n in text.split()], "key string, filename string, session_id string")
+    found = {r.filename: r.found_filename for r in lists.align(names("l0 l1 l2 l3"), names("a l2"), "key", "filename", "session_id").collect()}
+    assert found == {"l0": "a", "l1": "a", "l2": "l2", "l3": "a"}  # the same name first, then the free copy, then the first one again
     clean = spark.createDataFrame([(k, "a") for k in range(10)], "id long, g string")
     noisy = spark.createDataFrame([(100 + k, "a") for k in range(5)], "id long, g string")
     native = spark.createDataFrame([("a", 0.20)], "g string, rate double")
