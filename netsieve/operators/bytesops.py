@@ -1,11 +1,16 @@
 """Byte shaping: images, matrices, tokens, masks and field runs from hex text.
 
 Bytes travel as hex text, two characters each, so cutting and padding are
-string functions of the JVM; arrays of numbers are made once, at the end.
+string functions of the JVM. Arrays of numbers are made once, at the end, from
+the text cut to the bytes that are needed, by one vectorised step a batch.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,17 +20,54 @@ ROWS, HEADER, PAYLOAD = 5, 80, 240
 TOKENS, PAD_TOKEN = 128, "0000"
 
 
+#: The number that a character of hex text stands for, by its code; 0 for others.
+DIGITS = np.zeros(256, np.uint8)
+DIGITS[list(b"0123456789abcdef")] = range(16)
+DIGITS[list(b"ABCDEF")] = range(10, 16)
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a batch of hex texts, one after the other, and where each text's begin and end."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    codes = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    lengths = np.diff(ends) // 2
+    starts = np.concatenate(([0], np.cumsum(lengths)))
+    if (np.diff(ends) % 2).any():  # an odd last character is no byte
+        keep = np.ones(ends[-1] - ends[0], bool)
+        keep[ends[1:][np.diff(ends) % 2 == 1] - 1 - ends[0]] = False
+        digits = DIGITS[codes[ends[0] : ends[-1]][keep]]
+    else:
+        digits = DIGITS[codes[ends[0] : ends[-1]]]
+    return digits[::2] * np.uint8(16) + digits[1::2], starts
+
+
 def byte_values(text: Column, n: int) -> Column:
-    """The first n bytes of hex text as numbers (fewer if there are fewer)."""
-    count = F.least(F.lit(n), (F.length(text) / 2).cast("int"))
-    at = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda k: F.conv(F.substr(text, k * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    """The first n bytes of hex text as numbers (fewer if there are fewer); none of null."""
+
+    @F.arrow_udf("array<int>")
+    def values(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found, starts = _bytes_of(texts)
+            yield pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(found.astype(np.int32)))
+
+    return values(F.substring(text, 1, 2 * n))
 
 
 def image(text: Column, size: int = IMAGE, pad: int = IMAGE_PAD) -> Column:
     """size values in [0, 1]: bytes over 256, missing ones as the pad value over 256."""
-    values = byte_values(text, size)
-    return F.transform(F.concat(values, F.array_repeat(F.lit(pad), F.lit(size) - F.size(values))), lambda v: v / F.lit(256.0))
+
+    @F.arrow_udf("array<double>")
+    def pixels(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found, starts = _bytes_of(texts)
+            values = np.full((len(texts), size), pad / 256)
+            lengths = np.diff(starts)
+            row = np.repeat(np.arange(len(texts)), lengths)
+            values[row, np.arange(len(found)) - starts[row]] = found / 256
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * size, pa.int32()), pa.array(values.ravel()))
+
+    return pixels(F.substring(text, 1, 2 * size))
 
 
 def _cut(text: Column, start: int | Column, n: int) -> Column:

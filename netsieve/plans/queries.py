@@ -347,15 +347,15 @@ def _hex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def image784(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.transform(bytesops.image(F.col("raw")), lambda x: (x * 256).cast("int").cast("string"))
-    return _hex(spark, sf_dir).select("doc_id", F.md5(F.array_join(v, ",")).alias("image"))
+    v = _hex(spark, sf_dir).select("doc_id", bytesops.image(F.col("raw")).alias("v"))
+    return v.select("doc_id", F.md5(F.array_join(F.transform("v", lambda x: (x * 256).cast("int").cast("string")), ",")).alias("image"))
 
 
 @query
 def matrix1600(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lambda k: F.struct(F.substr("raw", F.lit(k * 600 + 1), F.lit(600)).alias("raw"), F.lit(40 + k).alias("header_len"))
-    v = F.transform(bytesops.matrix(F.array(*map(cut, range(6)))), lambda x: x.cast("string"))
-    return _hex(spark, sf_dir).select("doc_id", F.md5(F.array_join(v, ",")).alias("matrix"))
+    v = _hex(spark, sf_dir).select("doc_id", bytesops.matrix(F.array(*map(cut, range(6)))).alias("v"))
+    return v.select("doc_id", F.md5(F.array_join(F.col("v").cast("array<string>"), ",")).alias("matrix"))
 
 
 @query
