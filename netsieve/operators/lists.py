@@ -2,7 +2,10 @@
 
 Choices are ordered by a hash of seed and identity, never by place or arrival:
 a retried or differently partitioned run makes the same lists. Top-k per class
-uses a rank window, which Spark prunes to k rows a class before the shuffle.
+for a fixed k uses a rank window, which Spark prunes to k rows a class before
+the shuffle. Where the number differs by class, or every row needs its rank, a
+class is dealt to buckets by the first digits of the hash: the rows in the
+buckets before are counted, and only a bucket is ever sorted as a whole.
 """
 
 from __future__ import annotations
@@ -29,8 +32,27 @@ def exclude(rows: DataFrame, name: Column, labels: tuple[str, ...]) -> DataFrame
     return rows.where(~F.lower(name).isin(*labels)) if labels else rows
 
 
+def class_ranks(rows: DataFrame, group: str, seed: int, *identity: str, most: Column | None = None) -> DataFrame:
+    """rows with ``_rank``, their number (from 1) in hash order within their class, and ``_total``, the rows of the class.
+
+    With most (a column that is constant in a class) only buckets that can hold ranks up to it are ranked. Null is a class.
+    """
+    keyed = rows.withColumns({"_key": order_key(seed, *identity), "_class": F.struct(F.col(group))}).withColumn("_bucket", F.substring("_key", 1, 3))
+    counts = keyed.groupBy("_class", "_bucket").agg(F.count("*").alias("_rows"))
+    w = Window.partitionBy("_class")  # 4,096 rows a class at most
+    before = F.sum("_rows").over(w.orderBy("_bucket")) - F.col("_rows")
+    counts = counts.select("_class", "_bucket", before.alias("_before"), F.sum("_rows").over(w).alias("_total"))
+    placed = keyed.join(counts, ["_class", "_bucket"])
+    if most is not None:
+        placed = placed.where(F.col("_before") < most)
+    rank = F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("_key", *identity))
+    return placed.withColumn("_rank", F.col("_before") + rank).drop("_key", "_class", "_bucket", "_before")
+
+
 def top_per_class(rows: DataFrame, group: str, n: int | Column, seed: int, *identity: str) -> DataFrame:
     """n rows of each class in hash order; n may be a column that is constant in a class."""
+    if isinstance(n, Column):
+        return class_ranks(rows, group, seed, *identity, most=n).where(F.col("_rank") <= n).drop("_rank", "_total")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(order_key(seed, *identity), *identity))
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
@@ -114,17 +136,15 @@ def round_robin(rows: DataFrame, group: str, n: int, seed: int, *identity: str)
 
 def folds(rows: DataFrame, group: str, k: int, seed: int, *identity: str) -> DataFrame:
     """A fold number in [0, k) for each row, even within every class."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order_key(seed, *identity), *identity))
-    return rows.withColumn("fold", F.pmod(rank - 1, F.lit(k)).cast("int"))
+    ranked = class_ranks(rows, group, seed, *identity)
+    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1, F.lit(k)).cast("int")).drop("_rank", "_total")
 
 
 def validation(rows: DataFrame, group: str, share: float, least: int, seed: int, *identity: str) -> DataFrame:
     """is_validation for max(1, round-half-even(share * n)) rows of each class of ``least`` rows or more."""
-    w = Window.partitionBy(group)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(order_key(seed, *identity), *identity))
-    chosen = (n >= least) & (rank <= F.greatest(F.lit(1), F.bround(n * share).cast("long")))
-    return rows.withColumn("is_validation", chosen.cast("int"))
+    n = F.col("_total")
+    chosen = (n >= least) & (F.col("_rank") <= F.greatest(F.lit(1), F.bround(n * share).cast("long")))
+    return class_ranks(rows, group, seed, *identity).withColumn("is_validation", chosen.cast("int")).drop("_rank", "_total")
 
 
 def renumber(rows: DataFrame, group: str, name: str) -> DataFrame:

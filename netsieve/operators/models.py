@@ -51,11 +51,18 @@ def fit_forest(train: DataFrame, test: DataFrame, features: list[str], label: st
 
 
 def class_probabilities(rows: DataFrame, key: str, label: str, vector: str) -> DataFrame:
-    """(key, label, class, p): softmax of the negative distances to the class centroids."""
-    centres = F.broadcast(centroids(rows, label, vector).select(F.col(label).alias("class"), "centroid"))
-    scored = rows.join(centres, how="cross").select(key, label, "class", F.exp(-distance(vector, "centroid")).alias("e"))
-    totals = scored.groupBy(key).agg(F.sum("e").alias("total"))
-    return scored.join(totals, key).select(key, label, "class", (F.col("e") / F.col("total")).alias("p"))
+    """(key, label, class, p): softmax of the negative distances to the class centroids.
+
+    The centroids, one row a class, become one array that every row reads: no
+    shuffle of rows, and no join of rows and classes.
+    """
+    centres = centroids(rows, label, vector).agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("class"), "centroid"))).alias("_centres"))
+    scored = rows.select(key, label, vector).join(F.broadcast(centres), how="cross")  # one row on the right side
+    apart = F.transform("_centres", lambda c: F.exp(-distance(F.col(vector), c["centroid"])))
+    scored = scored.select(key, label, F.col("_centres.class").alias("_classes"), apart.alias("_e"))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
+    each = scored.select(key, label, F.explode(F.arrays_zip(F.col("_classes").alias("class"), F.transform("_e", lambda e: e / total).alias("p"))).alias("_c"))
+    return each.select(key, label, "_c.class", "_c.p")
 
 
 def confident_flags(rows: DataFrame, key: str, label: str, vector: str) -> DataFrame:
