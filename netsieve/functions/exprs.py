@@ -121,3 +121,20 @@ def natural_key(text: Column, width: int = 12) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b; null where b is 0."""
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def group_key(task: str) -> Column:
+    """A session's class: one of task1, task2 and task3, or for ``full`` all three joined by '_'."""
+    return F.concat_ws("_", "task1", "task2", "task3") if task == "full" else F.col(task)
+
+
+def listed_order(value: Column, order: list[str]) -> tuple[Column, Column]:
+    """Sort keys: the place of a value in a list, case ignored, others behind; then the value without its case."""
+    low = F.lower(value)
+    place = F.array_position(F.array(*[F.lit(x.lower()) for x in order]), low) if order else F.lit(0)
+    return F.when(place > 0, place).otherwise(len(order) + 1), low
+
+
+def loose_session(session: Column) -> Column:
+    """What names a session in a list of wrong answers: an id with letters itself, any other by its first run of digits."""
+    return F.when(session.rlike("[a-zA-Z]"), F.concat(F.lit("id:"), session)).otherwise(F.concat(F.lit("n:"), F.regexp_extract(session, r"\d+", 0)))

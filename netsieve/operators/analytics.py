@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netsieve.functions.exprs import loose_session
+
 # Two-sided 95 % points of Student's t by degrees of freedom; beyond them 1.96.
 T95 = {1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262}
 
@@ -165,3 +167,57 @@ def top_jaccard(a: DataFrame, b: DataFrame, name: str, value: str, k: int) -> Da
 
     both = best(a, "_a").join(best(b, "_b"), name, "full")
     return both.agg(F.try_divide(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()), F.count("*")).alias("jaccard"))
+
+
+def running_max(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """rows with ``running_max``: the greatest value so far of each key."""
+    return rows.withColumn("running_max", F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def top_feature(rows: DataFrame, group: list[str], feature: str, value: str) -> DataFrame:
+    """(group, feature, value): the feature of the greatest value, the first by name of equals."""
+    best = rows.groupBy(*group).agg(F.min_by(F.struct(feature, value), F.struct((-F.col(value)).alias("v"), F.col(feature).alias("f"))).alias("_best"))
+    return best.select(*group, F.col("_best")[feature].alias(feature), F.col("_best")[value].alias(value))
+
+
+def error_composition(rows: DataFrame, group: list[str], truth: str, first: str, second: str, noise: Column) -> DataFrame:
+    """Of each group the errors of two predictions, those of the first on noise, and those that only the first makes (and on noise)."""
+    one, two = F.col(first) != F.col(truth), F.col(second) != F.col(truth)
+    counts = {"e2": one, "e4": two, "e2_noise": one & noise, "gain": one & ~two, "gain_noise": one & ~two & noise}
+    return rows.groupBy(*group).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
+
+
+def noise_rate(listed: DataFrame, noise: DataFrame, keys: list[str], group: list[str]) -> DataFrame:
+    """(group, n, noise, rate): how many of a list's rows are noise."""
+    marks = noise.select(*keys).distinct().withColumn("_noise", F.lit(1))
+    out = listed.join(marks, keys, "left").groupBy(*group).agg(F.count("*").alias("n"), F.count("_noise").alias("noise"))
+    return out.withColumn("rate", F.try_divide("noise", "n"))
+
+
+def wrong_noise(wrong: DataFrame, noise: DataFrame, name: str, session: str) -> DataFrame:
+    """wrong with ``hit``: whether noise has the session, by its id if that has letters and else by its first digits."""
+    exact = F.concat(F.lit("id:"), F.col(session))
+    digits = F.concat(F.lit("n:"), F.regexp_extract(session, r"\d+", 0))
+    known = noise.select(F.col(name), F.explode(F.array(exact, digits)).alias("_name")).distinct().withColumn("_hit", F.lit(True))
+    found = wrong.withColumn("_name", loose_session(F.col(session))).join(known, [name, "_name"], "left")
+    return found.withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_name", "_hit")
+
+
+def seed_statistics_by_model(rows: DataFrame, dataset: list[str], model: str, value: str) -> DataFrame:
+    """seed_statistics of a dataset over all its values, with the SD within models (mean of theirs) and between them (SD of their means).
+
+    The verdict is 'within error' where the mean is at most twice the SD within;
+    ``positive`` and ``negative`` count models by the sign of their mean.
+    """
+    cells = rows.where(F.col(value).isNotNull()).groupBy(*dataset, model).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.sum(F.pow(value, F.lit(2.0))).alias("squares"))
+    n = F.sum("n")
+    mean = F.sum(F.col("mean") * F.col("n")) / n
+    out = cells.groupBy(*dataset).agg(
+        n.alias("n"), mean.alias("mean"), F.avg("sd").alias("within"), F.stddev_samp("mean").alias("between"),
+        F.sqrt(F.greatest((F.sum("squares") - n * mean * mean) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))).alias("sd"),
+        F.count_if(F.col("mean") > 0).alias("positive"), F.count_if(F.col("mean") < 0).alias("negative"),
+    )
+    half = t95(F.col("n") - 1) * F.col("sd") / F.sqrt("n")
+    low, high = F.col("mean") - half, F.col("mean") + half
+    verdict = F.when(F.abs("mean") <= 2 * F.col("within"), "within error").when(low > 0, "+").when(high < 0, "-").otherwise("inconclusive")
+    return out.select(*dataset, "n", "mean", "within", "between", low.alias("low"), high.alias("high"), "positive", "negative", verdict.alias("verdict"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netsieve.functions.exprs import natural_key, split_role
+from netsieve.functions.exprs import group_key, natural_key, session_parts, split_role
+from netsieve.schemas import LIST_COLUMNS
 
 
 def order_key(seed: int, *parts: str) -> Column:
@@ -151,3 +152,44 @@ def renumber(rows: DataFrame, group: str, name: str) -> DataFrame:
     """rows with ``new_name``: <class>_<i>, i from 1 in the natural order of the names of each class."""
     place = F.row_number().over(Window.partitionBy(group).orderBy(natural_key(F.col(name)), name))
     return rows.withColumn("new_name", F.concat_ws("_", group, place.cast("string")))
+
+
+def build(marked: DataFrame, noisy: Column, mode: str, task: str = "full", excluded: tuple[str, ...] = (), cap: int = 0, least: int = 0, ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """The list of a dataset and mode, LIST_COLUMNS and ``role``: exclude, refine, key, leave out small classes, cap, split.
+
+    A class's size for ``least`` is what passes refinement, before the cap; a cap or least of 0 is none.
+    """
+    rows = refine(marked, noisy, mode).withColumn("group_key", group_key(task))
+    rows = exclude(rows, F.col("group_key"), excluded)
+    rows = at_least(rows, "group_key", least) if least else rows
+    rows = top_per_class(rows, "group_key", cap, seed, "filename", "session_id") if cap else rows
+    proto, stream = session_parts(F.col("session_id"))
+    return roles(rows.withColumns({"proto": proto, "stream": stream}), seed, "filename", "session_id", ratio).select(*LIST_COLUMNS, "role")
+
+
+def pruned(rows: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that a list names."""
+    return rows.join(listed.select(*keys).distinct(), keys, "left_semi")
+
+
+def minus(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys others lack, such as the noise: the noisy list without the denoised one."""
+    return rows.join(others.select(*keys).distinct(), keys, "left_anti")
+
+
+def keep_first(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key in an order, by a partial aggregate."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_first"))
+    return first.select(*[F.col(c) if c in keys else F.col("_first")[c].alias(c) for c in rows.columns])
+
+
+def with_features(listed: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """Listed sessions with their features; ``found`` is false, and features null, for those that have none."""
+    there = features.withColumn("_there", F.lit(True))
+    return listed.join(there, keys, "left").withColumn("found", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def labelled(rows: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """rows with ``id`` from a label map (label, id); rows of unknown labels are dropped. A map has one row a class."""
+    return rows.join(F.broadcast(labels.select(F.col("label").alias(name), "id")), name)

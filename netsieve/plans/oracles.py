@@ -393,3 +393,38 @@ ORACLES["gap_sessions"] = f"""
     WITH {P}, g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 21600000000, true)::INT AS new FROM p),
     s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g)
     SELECT user_id, min(us) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
+
+# Whole lists, and operators on them
+_PARTS = "CASE WHEN contains(x.session_id, '_') THEN split_part(x.session_id, '_', 1) ELSE '-' END AS proto, CASE WHEN contains(x.session_id, '_') THEN substr(x.session_id, strpos(x.session_id, '_') + 1) ELSE '-' END AS stream"
+
+
+def _list_sql(key: str, where: str, cap: int, least: int, ratio: float, seed: int) -> str:
+    return f"""
+    WITH {_MARKS}, x AS (SELECT m0.filename, m0.session_id, m0.task1, m0.task2, m0.task3, {key} AS group_key FROM m0 JOIN marks USING (event_id) WHERE {where}),
+    n AS (SELECT *, count(*) OVER (PARTITION BY group_key) AS n, row_number() OVER (PARTITION BY group_key ORDER BY md5('{seed}|' || filename || '|' || session_id), filename, session_id) AS place FROM x),
+    k AS (SELECT *, '{seed}|' || filename || '|' || session_id AS k, {_crc_table()} AS t FROM n WHERE n >= {least} AND place <= {cap}), r AS (SELECT *, {_CRC} AS hash FROM k)
+    SELECT x.filename, x.session_id, {_PARTS}, group_key, task1, task2, task3, CASE WHEN hash / 4294967295.0 < {ratio} THEN 'test' ELSE 'train' END AS role FROM r AS x"""
+
+
+ORACLES["list_denoised"] = _list_sql("m0.task1 || '_' || m0.task2 || '_' || m0.task3", "Aa_2 + Aa_4 + Cd_1 = 0 AND lower(m0.task1 || '_' || m0.task2 || '_' || m0.task3) <> 'double_x_y'", 40, 30, 0.2, 42)
+ORACLES["list_noisy_task"] = _list_sql("m0.task1", "lower(m0.task1) NOT IN ('double', 'unlabeled')", 10**9, 0, 0.3, 7)
+ORACLES["feature_misses"] = "SELECT quality, count(*) FILTER (d.doc_id IS NULL) AS missing, sum(n_chars)::BIGINT AS n_chars FROM labels AS l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) AS d USING (doc_id) GROUP BY 1"
+ORACLES["semi_pruned"] = "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+ORACLES["labelled_rows"] = "SELECT doc_id, (dense_rank() OVER (ORDER BY lang) - 1)::INT AS id FROM documents WHERE lang <> 'de'"
+ORACLES["first_rows"] = "SELECT lang, source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY n_chars, doc_id) = 1"
+ORACLES["listed_sort"] = "SELECT lang, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 1 WHEN 'en' THEN 2 ELSE 3 END, lang)::INT AS place FROM (SELECT DISTINCT lang FROM documents)"
+ORACLES["session_names"] = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '-' ELSE event_type END AS proto, CASE WHEN event_id % 5 = 0 THEN '-' ELSE event_id::VARCHAR END AS stream FROM events"
+ORACLES["field_maximum"] = f"WITH {P} SELECT event_id, max(value) OVER (PARTITION BY user_id, day ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS running_max FROM p"
+ORACLES["top_feature"] = "SELECT l_returnflag, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY count(*) DESC, l_suppkey) = 1"
+ORACLES["sampled_noise_rate"] = f"""
+    WITH r AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY {_order(3)}) AS k FROM documents)
+    SELECT lang, count(*) AS n, count(*) FILTER (n_chars < 400) AS noise, round(count(*) FILTER (n_chars < 400) / count(*), 4) AS rate FROM r WHERE k <= 60 GROUP BY 1"""
+ORACLES["wrong_noise"] = "SELECT event_id, (event_id % 5 < 2)::INT AS hit FROM events WHERE event_id % 3 = 0"
+ORACLES["seed_stats_models"] = """
+    WITH v AS (SELECT user_id % 4 AS dataset, user_id % 3 AS model, event_id % 5 AS seed, avg(value) - 50 AS delta FROM events WHERE event_id % 11 = 0 GROUP BY 1, 2, 3),
+    c AS (SELECT dataset, model, avg(delta) AS mean, stddev_samp(delta) AS sd FROM v GROUP BY 1, 2),
+    m AS (SELECT dataset, avg(sd) AS within, stddev_samp(mean) AS between_, count(*) FILTER (mean > 0) AS positive, count(*) FILTER (mean < 0) AS negative FROM c GROUP BY 1),
+    d AS (SELECT dataset, count(*) AS n, avg(delta) AS mean, stddev_samp(delta) AS sd FROM v GROUP BY 1),
+    h AS (SELECT *, coalesce(list_value(12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262)[n - 1], 1.96) * sd / sqrt(n) AS half FROM d JOIN m USING (dataset))
+    SELECT dataset, n, round(mean, 4) AS mean, round(within, 4) AS within, round(between_, 4) AS between, round(mean - half, 4) AS low, round(mean + half, 4) AS high, positive, negative,
+        CASE WHEN abs(mean) <= 2 * within THEN 'within error' WHEN mean - half > 0 THEN '+' WHEN mean + half < 0 THEN '-' ELSE 'inconclusive' END AS verdict FROM h"""

@@ -438,7 +438,7 @@ def variant_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def noise_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _docs(spark, sf_dir)
-    return d.select("doc_id").join(d.where("n_chars >= 400").select("doc_id"), "doc_id", "left_anti")
+    return lists.minus(d, d.where("n_chars >= 400"), ["doc_id"]).select("doc_id")
 
 
 @query
@@ -451,8 +451,7 @@ def evaluation_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def error_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _predictions(spark, sf_dir).withColumn("pred4", F.when(F.col("doc_id") % 7 == 0, F.lit("zz")).otherwise(F.col("truth")))
-    wrong2, wrong4 = F.col("pred") != F.col("truth"), F.col("pred4") != F.col("truth")
-    return p.groupBy("truth").agg(F.count_if(wrong2).alias("e2"), F.count_if(wrong4).alias("e4"), F.count_if(wrong2 & F.col("noise")).alias("e2_noise"), F.count_if(wrong2 & ~wrong4).alias("gain"), F.count_if(wrong2 & ~wrong4 & F.col("noise")).alias("gain_noise"))
+    return analytics.error_composition(p, ["truth"], "truth", "pred", "pred4", F.col("noise"))
 
 
 @query
@@ -583,3 +582,90 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rules.per_class(marked, rules.CODES[:7], F.lit("all"), F.lower(F.col("task3")))
     rank = F.row_number().over(Window.orderBy(F.desc("before"), "class"))
     return counts.withColumn("place", rank)
+
+
+# Whole lists, and operators on them
+
+
+@query
+def list_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rules.mark(markable(spark, sf_dir))
+    return lists.build(m, rules.any_mark(m, ["Aa_2", "Aa_4", "Cd_1"]), "denoised", excluded=("double_x_y",), cap=40, least=30)
+
+
+@query
+def list_noisy_task(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = rules.mark(markable(spark, sf_dir))
+    return lists.build(m, rules.any_mark(m), "noisy", task="task1", excluded=("double", "unlabeled"), ratio=0.3, seed=7)
+
+
+@query
+def feature_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = lists.with_features(listed, _docs(spark, sf_dir).where("doc_id % 5 <> 0").select("doc_id", "n_chars"), ["doc_id"])
+    return found.groupBy("quality").agg(F.count_if(~F.col("found")).alias("missing"), F.sum("n_chars").alias("n_chars"))
+
+
+@query
+def semi_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.pruned(_docs(spark, sf_dir), table(spark, sf_dir, "labels").where("toxic = 1"), ["doc_id"]).select("doc_id", "lang")
+
+
+@query
+def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    return lists.labelled(d, lists.label_map(d.where("lang <> 'de'"), "lang"), "lang").select("doc_id", "id")
+
+
+@query
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lists.keep_first(_docs(spark, sf_dir), ["lang", "source"], "n_chars", "doc_id").select("lang", "source", "doc_id", "n_chars")
+
+
+@query
+def listed_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place, name = exprs.listed_order(F.initcap("lang"), ["FR", "en"])
+    d = table(spark, sf_dir, "documents").select("lang").distinct()
+    return d.select("lang", F.row_number().over(Window.orderBy(place, name)).alias("place"))
+
+
+@query
+def session_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proto, stream = exprs.session_parts(F.when(F.col("event_id") % 5 == 0, "-").otherwise(F.concat_ws("_", "event_type", F.col("event_id").cast("string"))))
+    return table(spark, sf_dir, "events").select("event_id", proto.alias("proto"), stream.alias("stream"))
+
+
+# Results
+
+
+@query
+def field_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.running_max(packets(spark, sf_dir), SESSION, ORDER, "value").select("event_id", "running_max")
+
+
+@query
+def top_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_suppkey").agg(F.count("*").alias("n"))
+    return analytics.top_feature(li, ["l_returnflag"], "l_suppkey", "n")
+
+
+@query
+def sampled_noise_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _docs(spark, sf_dir)
+    return _round(analytics.noise_rate(lists.top_per_class(d, "lang", 60, 3, "doc_id"), d.where("n_chars < 400"), ["doc_id"], ["lang"]), "rate")
+
+
+@query
+def wrong_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id % 3 = 0")
+    name = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("tcp_"), "event_id")).otherwise(F.concat("event_id", F.lit(".0")))
+    wrong = e.select("event_id", (F.col("user_id") % 9).alias("file"), name.alias("session"))
+    noise = e.where("event_id % 5 < 2").select((F.col("user_id") % 9).alias("file"), F.concat(F.lit("tcp_"), "event_id").alias("session"))
+    return analytics.wrong_noise(wrong, noise, "file", "session").select("event_id", F.col("hit").cast("int").alias("hit"))
+
+
+@query
+def seed_stats_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("event_id % 11 = 0")
+    values = e.groupBy((F.col("user_id") % 4).alias("dataset"), (F.col("user_id") % 3).alias("model"), (F.col("event_id") % 5).alias("seed")).agg((F.avg("value") - 50).alias("delta"))
+    return _round(analytics.seed_statistics_by_model(values, ["dataset"], "model", "delta"), "mean", "within", "between", "low", "high")
