@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from netsieve.operators import rules
 from netsieve.plans.adapters import PACKETS_SQL, markable_sql
 from netsieve.plans.queries import CHAINS, SCHEDULE
 
@@ -42,16 +41,57 @@ _FLAGS = f"""SELECT *, {_PUBLIC.format('s')} AS spub, {_PUBLIC.format('d')} AS d
     dst1 LIKE '%.255' OR coalesce(d1 BETWEEN 224 AND 239, false) OR dst1 LIKE 'ff%' OR dst1 LIKE 'fe80%' OR dst1 LIKE '169.254.%' AS many FROM s1"""
 
 
+#: Fixed values, written here apart from the rules so that a slip in either shows.
+_SETS = {
+    "L3_CONTROL": ("arp", "icmp", "icmpv6", "rarp", "teredo",),
+    "NAME_RESOLUTION": ("bootp", "dhcp", "dhcpv6", "dns", "llmnr", "mdns", "nbns",),
+    "WINDOWS": ("nbdgm", "nbss", "smb", "smb2", "srvloc", "ssdp",),
+    "INFRASTRUCTURE": ("chargen", "lsd", "ntp", "rtcp", "snmp", "stun",),
+    "BACKGROUND_SNI": ("javadl-esd-secure.oracle.com", "watson.telemetry.microsoft.com",),
+    "AUTO_L7": ("bootp", "browser", "dhcp", "dhcpv6", "llmnr", "mdns", "nbdgm", "nbns", "ssdp",),
+    "AUTO_PORTS": (67, 68, 137, 138, 546, 547, 1900, 3702, 5353, 5355,),
+    "SAFE_L7": (
+        "bootp", "browser", "cdp", "coap", "dhcp", "dhcpv6", "icmpv6", "igmp", "lldp", "llmnr", "lsd", "mdns", "nbdgm", "nbns", "ntp",
+        "rarp", "ssdp", "stp", "wsdd",
+    ),
+    "ATTACKERS": (
+        "13.58.225.34", "13.58.98.64", "13.59.126.31", "172.31.70.16", "172.31.70.23", "172.31.70.4", "172.31.70.46", "172.31.70.6",
+        "172.31.70.8", "18.216.200.189", "18.216.24.42", "18.217.165.70", "18.218.11.51", "18.218.115.60", "18.218.229.235",
+        "18.218.55.126", "18.219.193.20", "18.219.211.138", "18.219.32.43", "18.219.5.43", "18.219.9.1", "18.221.219.4", "52.14.136.135",
+    ),
+    "VICTIMS": ("172.31.69.13", "172.31.69.24"),
+}
+_PATTERNS = {
+    "delivery": r"geo.*\.do\.dsp\.mp\.microsoft\.com|geover.*\.do\.dsp\.mp\.microsoft\.com|kv.*\.prod\.do\.dsp\.mp\.microsoft\.com|cp.*\.prod\.do\.dsp\.mp\.microsoft\.com|disc.*\.prod\.do\.dsp\.mp\.microsoft\.com|array.*\.prod\.do\.dsp\.mp\.microsoft\.com|dl\.delivery\.mp\.microsoft\.com|download\.windowsupdate\.com",
+    "ads": r"doubleclick\.net|googlesyndication\.com|googleadservices\.com|googleads\.|google-analytics\.com|adnxs\.com|scorecardresearch\.com|adsystem\.",
+    "browser": r"safebrowsing\.google\.com|clients\d+\.google\.com|\.gstatic\.com|\.fbcdn\.net",
+    "injection": r"<script|%3cscript|onerror\s*=|onerror%3d|javascript:|javascript%3a|union\s+select|union%20select|select.{1,20}from|\.\./|%2e%2e%2f|/etc/passwd|1=1|1%3d1|' or '|%27.{0,6}or",
+    "tracker": r"\.gif\?|/pd\?|/i/1\.gif",
+    "auto_dns": r"msftncsi|^wpad$|teredo|isatap|time\.windows\.com",
+    "auto_uri": r"msftncsi|wpad\.dat|teredo|isatap|time\.windows\.com",
+    "ssh_tool": r"paramiko|libssh2|ganymed|dropbear",
+    "hulk": r"\?[A-Z]{3,10}=[A-Z]{3,10}(?:&|$)",
+    "goldeneye": r"^/\?[A-Za-z0-9]{0,10}[A-Z0-9][A-Za-z0-9]{0,10}=[A-Za-z0-9]{2,20}(?:&[A-Za-z0-9]{0,10}[A-Z0-9][A-Za-z0-9]{0,10}=[A-Za-z0-9]{2,20}){0,4}$",
+    "recon": r"version\.bind|hostname\.bind|id\.server",
+    "scanner": r"zgrab|masscan|nmap|nikto|sqlmap|dirbuster|gobuster|hydra|nuclei",
+    "sip_scanner": r"friendly-scanner|sipvicious|sundayddr",
+    "static": r"\.(?:css|js|png|jpe?g|gif|ico|woff2?|svg)(?:$|\?)",
+    "msn": r"msn.com|bing",
+}
+_CIC18 = ["Aa_2", "Aa_4", "Aa_6", "Aa_7", "Bb_13", "Bb_14", "Bb_15", "Bb_16", "Bb_17", "Bb_18", "Bb_19", "Bb_20", "Bb_21", "Bb_22", "Bb_23"]
+_VPN16 = ["Aa_1", "Aa_2", "Aa_4", "Aa_5", "Aa_6", "Aa_7", "Bb_1", "Bb_2", "Bb_3", "Cc_1", "Cc_2", "Cc_3", "Cc_5", "Cd_2", "Cd_3", "Cd_4", "De_1", "De_2", "De_3", "De_4", "Df_1"]
+
+
 def _in(column: str, values: tuple) -> str:
     return f"{column} IN ({', '.join(repr(v) for v in values)})"
 
 
 def _match(column: str, pattern: str) -> str:
-    return f"regexp_matches({column}, $r${rules.PATTERNS[pattern]}$r$)"
+    return f"regexp_matches({column}, $r${_PATTERNS[pattern]}$r$)"
 
 
 _TORRENT = "(L7 IN ('bt-dht', 'bt-tracker') OR src_port IN (6969, 61009) OR dst_port IN (6969, 61009))"
-_CONTROL = f"({_in('L7', rules.L3_CONTROL + rules.NAME_RESOLUTION + rules.WINDOWS + rules.INFRASTRUCTURE)})"
+_CONTROL = f"({_in('L7', _SETS['L3_CONTROL'] + _SETS['NAME_RESOLUTION'] + _SETS['WINDOWS'] + _SETS['INFRASTRUCTURE'])})"
 _PREDICATES = {
     "Aa_1": "L4 = 'tcp' AND NOT (has_SYN = 1 AND has_SYN_ACK = 1)",
     "Aa_2": "contains(ws_col_info, 'packet size limited during capture') OR contains(ws_col_info, 'malformed packet') OR contains(ws_col_info, 'truncated')",
@@ -60,19 +100,19 @@ _PREDICATES = {
     "Aa_5": "L4 = 'tcp' AND (L7 = 'tls' OR src_port = 443 OR dst_port = 443 OR has_TLS_CHLO = 1 OR has_TLS_SHLO = 1) AND (has_TLS_CHLO = 0 OR has_TLS_SHLO = 0)",
     "Aa_6": "task1 IN ('unlabeled', 'double')",
     "Aa_7": "L3 = 'ipv6'",
-    "Bb_1": f"{_in('L7', rules.INFRASTRUCTURE)} AND NOT (contains(cls, 'voip') AND L7 IN ('stun', 'rtcp'))",
+    "Bb_1": f"{_in('L7', _SETS['INFRASTRUCTURE'])} AND NOT (contains(cls, 'voip') AND L7 IN ('stun', 'rtcp'))",
     "Bb_2": f"{_TORRENT} AND NOT (contains(cls, 'bittorrent') OR task2 = 'p2p')",
     "Bb_3": f"((contains(cls, 'scp') AND L7 <> 'ssh') OR (contains(cls, 'ftp') AND L7 = 'sip')) AND NOT {_CONTROL}",
     "Bb_4": "tls_sni NOT IN ('', '-') AND task3 NOT IN ('', '-') AND tls_sni <> task3 AND NOT ends_with(tls_sni, '.' || task3)",
     "Bb_5": f"benign AND (has_botid = 1 OR upload_filename NOT IN ('', '-', '0') OR ({_match('http_susp_uri', 'injection')} AND NOT {_match('http_susp_uri', 'tracker')}))",
     "Bb_6": "NOT benign AND L4 = 'udp' AND r1 = 100 AND r2 BETWEEN 64 AND 127 AND dst_port = 7001",
-    "Bb_7": f"NOT benign AND ({_in('L7', rules.AUTO_L7)} OR {_in('src_port', rules.AUTO_PORTS)} OR {_in('dst_port', rules.AUTO_PORTS)} OR L3 IN ('arp', 'rarp') OR L4 = 'icmpv6' OR {_match('dns_qry', 'auto_dns')} OR {_match('http_uri', 'auto_uri')})",
+    "Bb_7": f"NOT benign AND ({_in('L7', _SETS['AUTO_L7'])} OR {_in('src_port', _SETS['AUTO_PORTS'])} OR {_in('dst_port', _SETS['AUTO_PORTS'])} OR L3 IN ('arp', 'rarp') OR L4 = 'icmpv6' OR {_match('dns_qry', 'auto_dns')} OR {_match('http_uri', 'auto_uri')})",
     "Bb_8": "contains(cls, 'infiltration')",
     "Bb_9": "benign AND contains(ftp_arg, '\\t')",
     "Bb_10": f"benign AND {_match('ssh_proto', 'ssh_tool')}",
     "Bb_11": f"benign AND {_match('raw_uri', 'hulk')}",
     "Bb_12": f"benign AND NOT {_match('raw_uri', 'hulk')} AND {_match('raw_uri', 'goldeneye')}",
-    "Bb_13": f"benign AND ({_in('src_ip', rules.ATTACKERS)} OR {_in('dst_ip', rules.ATTACKERS)})",
+    "Bb_13": f"benign AND ({_in('src_ip', _SETS['ATTACKERS'])} OR {_in('dst_ip', _SETS['ATTACKERS'])})",
     "Bb_14": f"benign AND ({_match('dns_qry', 'recon')} OR {_match('http_ua', 'scanner')} OR {_match('sip_ua', 'sip_scanner')})",
     "Bb_15": "contains(cls, 'ftp-patator')",
     "Bb_16": "contains(cls, 'slowhttptest')",
@@ -82,20 +122,20 @@ _PREDICATES = {
     "Bb_20": "contains(cls, 'goldeneye') AND has_RST = 1 AND ts_last - ts_first < 5.05",
     "Bb_21": f"contains(cls, 'web-attack') AND {_match('http_uri', 'static')}",
     "Bb_22": "contains(cls, '_bot') AND payload_size = 0",
-    "Bb_23": f"benign AND {_in('src_ip', rules.VICTIMS)} AND starts_with(dst_ip, '172.31.69.') AND has_SYN = 1 AND has_SYN_ACK = 0",
+    "Bb_23": f"benign AND {_in('src_ip', _SETS['VICTIMS'])} AND starts_with(dst_ip, '172.31.69.') AND has_SYN = 1 AND has_SYN_ACK = 0",
     "Bb_24": "NOT benign AND (spub OR dpub) AND NOT lab",
-    "Bb_25": f"NOT benign AND s1 IS NOT NULL AND d1 IS NOT NULL AND NOT spub AND NOT dpub AND NOT many AND NOT lab AND {_in('L7', rules.SAFE_L7)}",
+    "Bb_25": f"NOT benign AND s1 IS NOT NULL AND d1 IS NOT NULL AND NOT spub AND NOT dpub AND NOT many AND NOT lab AND {_in('L7', _SETS['SAFE_L7'])}",
     "Bb_26": "NOT benign AND many AND NOT lab",
     "Bb_27": "benign AND is_nmap_probe = 1",
     "Bb_28": "false",
     "Bb_29": "false",
-    "Cc_1": f"{_in('L7', rules.L3_CONTROL)} OR L3 IN ('ipv6', 'arp', 'rarp') OR L4 IN ('icmp', 'icmpv6')",
-    "Cc_2": _in("L7", rules.NAME_RESOLUTION),
-    "Cc_3": _in("L7", rules.WINDOWS),
-    "Cc_4": _in("L7", rules.INFRASTRUCTURE),
+    "Cc_1": f"{_in('L7', _SETS['L3_CONTROL'])} OR L3 IN ('ipv6', 'arp', 'rarp') OR L4 IN ('icmp', 'icmpv6')",
+    "Cc_2": _in("L7", _SETS['NAME_RESOLUTION']),
+    "Cc_3": _in("L7", _SETS['WINDOWS']),
+    "Cc_4": _in("L7", _SETS['INFRASTRUCTURE']),
     "Cc_5": "ends_with(dst_ip, '.255') OR coalesce(r1 BETWEEN 224 AND 239, false) OR starts_with(dst_ip, 'ff') OR starts_with(dst_ip, 'fe80') OR starts_with(dst_ip, '169.254.')",
     "Cd_1": _TORRENT,
-    "Cd_2": f"http_ua = 'winhttp' OR {_in('tls_sni', rules.BACKGROUND_SNI)} OR contains(dns_qry, 'msftncsi') OR contains(http_uri, 'msftncsi')",
+    "Cd_2": f"http_ua = 'winhttp' OR {_in('tls_sni', _SETS['BACKGROUND_SNI'])} OR contains(dns_qry, 'msftncsi') OR contains(http_uri, 'msftncsi')",
     "Cd_3": _match("tls_sni", "delivery"),
     "Cd_4": "contains(http_ua, 'apt-http')",
     "De_1": "(contains(tls_sni, 'gstatic') OR contains(tls_sni, 'google')) AND NOT contains(tls_sni, 'googlevideo') AND L7 IN ('tls', 'gquic')",
@@ -109,6 +149,8 @@ _ALL = ", ".join(_PREDICATES)
 ORACLES["rules_onehot"] = f"WITH {_MARKS} SELECT event_id, {_ALL} FROM marks"
 _SUM = " + ".join(_PREDICATES)
 ORACLES["rule_report"] = f"WITH {_MARKS} SELECT count(*) AS total, count(*) FILTER ({_SUM} >= 1) AS any_noise, count(*) FILTER ({_SUM} >= 2) AS multi_noise, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in _PREDICATES) + " FROM marks"
+_SINGLE = "has_SYN = 1 AND has_SYN_ACK = 0 AND pkt_count = 1"
+ORACLES["rules_scoped"] = f"WITH {M}, s0 AS ({_SAFE}), s1 AS ({_MORE}), s AS ({_FLAGS}) SELECT event_id, coalesce((contains(cls, 'goldeneye') OR contains(cls, 'benign')) AND {_SINGLE} AND L4 = 'tcp', false)::INT AS Bb_28, coalesce(contains(cls, 'dos') AND {_SINGLE}, false)::INT AS Bb_29 FROM s"
 ORACLES["perrule_counts"] = f"WITH {_MARKS}, sums AS (SELECT " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in _PREDICATES) + f" FROM marks) SELECT rule, sessions FROM (UNPIVOT sums ON {_ALL} INTO NAME rule VALUE sessions)"
 
 
@@ -116,10 +158,10 @@ def _any(codes: list[str]) -> str:
     return "(" + " + ".join(codes) + ") > 0"
 
 
-ORACLES["perclass_counts"] = f"""WITH {_MARKS} SELECT CASE WHEN t1 = 'benign' THEN 'benign' ELSE 'attack' END AS "group", cls AS class, count(*) AS before, count(*) FILTER (NOT {_any(rules.default_codes('cic18'))}) AS after,
-    count(*) FILTER ({_any(rules.default_codes('cic18'))}) AS removed, (count(*) FILTER (NOT {_any(rules.default_codes('cic18'))}) = 0)::INT AS vanished FROM marks GROUP BY 1, 2"""
-ORACLES["any_noise_filter"] = f"WITH {_MARKS} SELECT marks.event_id, m0.task3 FROM marks JOIN m0 USING (event_id) WHERE NOT {_any(rules.default_codes('vpn16'))}"
-ORACLES["flagship"] = f"""WITH {_MARKS}, c AS (SELECT 'all' AS "group", t3 AS class, count(*) AS before, count(*) FILTER (NOT {_any(list(rules.CODES[:7]))}) AS after FROM marks GROUP BY 2)
+ORACLES["perclass_counts"] = f"""WITH {_MARKS} SELECT CASE WHEN t1 = 'benign' THEN 'benign' ELSE 'attack' END AS "group", cls AS class, count(*) AS before, count(*) FILTER (NOT {_any(_CIC18)}) AS after,
+    count(*) FILTER ({_any(_CIC18)}) AS removed, (count(*) FILTER (NOT {_any(_CIC18)}) = 0)::INT AS vanished FROM marks GROUP BY 1, 2"""
+ORACLES["any_noise_filter"] = f"WITH {_MARKS} SELECT marks.event_id, m0.task3 FROM marks JOIN m0 USING (event_id) WHERE NOT {_any(_VPN16)}"
+ORACLES["flagship"] = f"""WITH {_MARKS}, c AS (SELECT 'all' AS "group", t3 AS class, count(*) AS before, count(*) FILTER (NOT {_any([f'Aa_{n}' for n in range(1, 8)])}) AS after FROM marks GROUP BY 2)
     SELECT *, before - after AS removed, (after = 0)::INT AS vanished, row_number() OVER (ORDER BY before DESC, class)::INT AS place FROM c"""
 
 # Labels
@@ -406,7 +448,7 @@ def _list_sql(key: str, where: str, cap: int, least: int, ratio: float, seed: in
     SELECT x.filename, x.session_id, {_PARTS}, group_key, task1, task2, task3, CASE WHEN hash / 4294967295.0 < {ratio} THEN 'test' ELSE 'train' END AS role FROM r AS x"""
 
 
-ORACLES["list_denoised"] = _list_sql("m0.task1 || '_' || m0.task2 || '_' || m0.task3", "Aa_2 + Aa_4 + Cd_1 = 0 AND lower(m0.task1 || '_' || m0.task2 || '_' || m0.task3) <> 'double_x_y'", 40, 30, 0.2, 42)
+ORACLES["list_denoised"] = _list_sql("m0.task1 || '_' || m0.task2 || '_' || m0.task3", "Aa_2 + Aa_4 + Cd_1 = 0 AND lower(m0.task1 || '_' || m0.task2 || '_' || m0.task3) NOT IN ('double_none_none', 'unlabeled_none_none')", 40, 30, 0.2, 42)
 ORACLES["list_noisy_task"] = _list_sql("m0.task1", "lower(m0.task1) NOT IN ('double', 'unlabeled')", 10**9, 0, 0.3, 7)
 ORACLES["feature_misses"] = "SELECT quality, count(*) FILTER (d.doc_id IS NULL) AS missing, sum(n_chars)::BIGINT AS n_chars FROM labels AS l LEFT JOIN (SELECT * FROM documents WHERE doc_id % 5 <> 0) AS d USING (doc_id) GROUP BY 1"
 ORACLES["semi_pruned"] = "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"

@@ -119,6 +119,12 @@ def rules_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.mark(markable(spark, sf_dir)).select("event_id", *rules.CODES)
 
 
+@query
+def rules_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = rules.mark(markable(spark, sf_dir), scope={"Bb_28": ["GoldenEye", "Benign"], "Bb_29": ["DoS"]})
+    return marked.select("event_id", "Bb_28", "Bb_29")
+
+
 @query
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(rules.mark(markable(spark, sf_dir)))
@@ -590,7 +596,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def list_denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = rules.mark(markable(spark, sf_dir))
-    return lists.build(m, rules.any_mark(m, ["Aa_2", "Aa_4", "Cd_1"]), "denoised", excluded=("double_x_y",), cap=40, least=30)
+    return lists.build(m, rules.any_mark(m, ["Aa_2", "Aa_4", "Cd_1"]), "denoised", excluded=("double_none_none", "unlabeled_none_none"), cap=40, least=30)
 
 
 @query
