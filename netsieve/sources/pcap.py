@@ -10,8 +10,11 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from netsieve.schemas import FIELDS
 
 SCHEMA = "filename string, class_name string, frame long, ts double, linktype int, ipver int, proto string, ip_hdr_len int, l4_hdr_len int, src string, dst string, sport int, dport int, flags string, raw binary"
 ARROW = pa.schema(
@@ -137,6 +140,84 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(_rows, SCHEMA)
 
 
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of the files under a path that give no packets; Spark's reader leaves out files of no bytes itself."""
+    head = spark.read.format("binaryFile").load(path).select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic"))
+    known = F.col("magic").isin("A1B2C3D4", "D4C3B2A1", "A1B23C4D", "4D3CB2A1", "0A0D0D0A")
+    reason = F.when(~known, "no capture").when(F.col("length") <= 24, "no packets")
+    return head.select("path", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def index(files: DataFrame, name: str, root: str) -> DataFrame:
     """One path for each file name: that of the root that comes first."""
     return files.groupBy(name).agg(F.min_by("path", F.struct(root, "path")).alias("path"))
+
+
+def _ends() -> Column:
+    a, b = (F.struct(F.col(f"{way}").alias("ip"), F.col(port).alias("port")) for way, port in (("src", "sport"), ("dst", "dport")))
+    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+
+def streams(rows: DataFrame) -> DataFrame:
+    """TCP and UDP rows with ``stream``, the number of their conversation in order of its first frame, from 0 in each file and protocol.
+
+    A conversation is a pair of ends; ports that are used again later stay in
+    it. Packets meet in a partial aggregate, and only conversations are put in order.
+    """
+    known = rows.where(F.col("proto").isin("tcp", "udp") & F.col("sport").isNotNull()).withColumn("_ends", _ends())
+    firsts = known.groupBy("filename", "proto", "_ends").agg(F.min("frame").alias("_first"))
+    number = F.row_number().over(Window.partitionBy("filename", "proto").orderBy("_first")) - 1
+    return known.join(firsts.withColumn("stream", number.cast("long")).drop("_first"), ["filename", "proto", "_ends"]).select(*rows.columns, "stream")
+
+
+#: Names of link types in a chain of protocols.
+LINKS = {0: "null", 1: "eth", 101: "raw", 108: "loop", 113: "sll", 276: "sll2"}
+
+
+def _number(start: Column | int) -> Column:
+    """The 16-bit number at a byte (from 0) of raw."""
+    start = F.lit(start) if isinstance(start, int) else start
+    return F.conv(F.hex(F.substr("raw", start + 1, F.lit(2))), 16, 10).cast("int")
+
+
+def fields(rows: DataFrame) -> DataFrame:
+    """Rows with streams as the text fields that sessions are made of: filename, class_name and FIELDS.
+
+    Headers, lengths and flags come from the packet; of the layers above only
+    what the text of one packet shows of HTTP. Fields that need a dissector of
+    other protocols, or streams put together, are empty.
+    """
+    tcp, six = F.col("proto") == "tcp", F.col("ipver") == 6
+    below = F.col("ip_hdr_len")
+    size = F.when(six, _number(4) + 40).otherwise(_number(2))
+    payload = F.substr("raw", below + F.col("l4_hdr_len") + 1, F.greatest(size - below - F.col("l4_hdr_len"), F.lit(0)))
+    text = F.decode(payload, "ISO-8859-1")
+    head = r"^([A-Z]{3,7}) (\S+) HTTP/1\.[01]\r\n"
+
+    def header(name: str) -> Column:
+        return F.regexp_extract(text, rf"(?is)^(?:[A-Z]{{3,7}} \S+ HTTP/1\.|HTTP/1\.).*?\r\n{name}:[ \t]*([^\r\n]*)", 1)
+
+    method = F.regexp_extract(text, head, 1)
+    link = F.create_map(*[F.lit(x) for pair in LINKS.items() for x in pair])[F.col("linktype")]
+    shows_http = (method != "") | text.startswith("HTTP/1.")
+    chain = F.concat_ws(":", link, F.when(six, "ipv6").otherwise("ip"), "proto", F.when(shows_http, "http"))
+    found = {
+        "frame.number": F.col("frame"),
+        "frame.protocols": chain,
+        "frame.time_epoch": F.format_string("%.6f", "ts"),
+        "tcp.len": F.when(tcp, F.octet_length(payload)),
+        "udp.length": F.when(~tcp, _number(below + 4)),
+        "udp.payload": F.when(~tcp, F.lower(F.hex(payload))),
+        **{f"{proto}.stream": F.when(F.col("proto") == proto, F.col("stream")) for proto in ("tcp", "udp")},
+        **{f"{proto}.{way}port": F.when(F.col("proto") == proto, F.col(f"{way[0]}port")) for proto in ("tcp", "udp") for way in ("src", "dst")},
+        **{f"{ip}.{way}": F.when(six == (ip == "ipv6"), F.col(way)) for ip in ("ip", "ipv6") for way in ("src", "dst")},
+        **{f"tcp.flags.{name}": F.when(tcp, F.contains("flags", F.lit(letter)).cast("int")) for name, letter in (("syn", "S"), ("ack", "A"), ("fin", "F"), ("reset", "R"))},
+        "http.request.method": method,
+        "http.request.uri": F.regexp_extract(text, head, 2),
+        "http.host": F.when(method != "", header("Host")),
+        "http.user_agent": F.when(method != "", header("User-Agent")),
+        "http.response.code": F.regexp_extract(text, r"^HTTP/1\.[01] (\d{3})", 1),
+        "http.content_type": F.when(method == "", header("Content-Type")),
+    }
+    none = F.lit("")
+    return rows.select("filename", "class_name", *[F.coalesce(found[name].cast("string"), none).alias(name) if name in found else none.alias(name) for name in FIELDS])

@@ -40,3 +40,26 @@ def write_chunked(df: DataFrame, path: str, rows: int = 500_000, missing: str =
 def unread(spark: SparkSession, files: DataFrame, manifest: DataFrame, name: str = "filename") -> DataFrame:
     """Files that the manifest of finished ones lacks."""
     return files.join(manifest.select(name).distinct(), name, "left_anti")
+
+
+def finished(rows: DataFrame, manifest: DataFrame, name: str = "filename") -> DataFrame:
+    """Rows of files in the manifest: those that a broken run left of other files are gone."""
+    return rows.join(manifest.select(name).distinct(), name, "left_semi")
+
+
+def read_label_map(spark: SparkSession, path: str) -> DataFrame:
+    """(label, id) of a label map, one JSON object of a file; a map has one entry a class."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, int>").alias("m"))
+    return text.select(F.explode("m").alias("label", "id"))
+
+
+def write_label_map(labels: DataFrame, path: str) -> None:
+    """A label map as one JSON object, in the order of its ids."""
+    entries = labels.agg(F.array_sort(F.collect_list(F.struct("id", "label"))).alias("e"))
+    texts = F.transform("e", lambda x: F.concat(F.regexp_extract(F.to_json(F.array(x["label"])), r"(?s)^\[(.*)\]$", 1), F.lit(": "), x["id"].cast("string")))
+    entries.select(F.concat(F.lit("{"), F.array_join(texts, ", "), F.lit("}")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_errors(rows: DataFrame, path: str, name: str = "path", reason: str = "reason") -> None:
+    """Append (path, reason) of inputs that could not be read, as tab-separated text."""
+    rows.select(F.concat_ws("\t", name, F.regexp_replace(reason, r"[\t\r\n]+", " ")).alias("value")).write.mode("append").text(path)

@@ -198,6 +198,35 @@ def test_pcap(spark, tmp_path):
     assert [pcap.kind(x) for x in (b"", b"\x0a\x0d\x0d\x0a", capture([]))] == ["other", "pcapng", "pcap"]
 
 
+def ip_packet(src, dst, sport, dport, flags, payload=b"", udp=False):
+    l4 = struct.pack("!HHHH", sport, dport, 8 + len(payload), 0) if udp else struct.pack("!HHIIBBHHH", sport, dport, 0, 0, 0x50, flags, 0, 0, 0)
+    size = 20 + len(l4) + len(payload)
+    ip = struct.pack("!BBHHHBBH4B4B", 0x45, 0, size, 0, 0, 64, 17 if udp else 6, 0, *src, *dst)
+    return b"\0" * 12 + b"\x08\x00" + ip + l4 + payload + b"\0" * 3  # padding is no payload
+
+
+def test_capture_to_sessions(spark, tmp_path):
+    c, s = (10, 0, 0, 1), (8, 8, 8, 8)
+    sent = [
+        ip_packet(c, s, 5000, 80, 0x02), ip_packet(s, c, 80, 5000, 0x12), ip_packet(c, s, 6000, 53, 0, b"ab", udp=True),
+        ip_packet(c, s, 5000, 80, 0x18, b"GET /x?a=1 HTTP/1.1\r\nHost: h.example\r\nUser-Agent: zgrab\r\n\r\n"), ip_packet(s, c, 80, 5000, 0x18, b"HTTP/1.1 404 No\r\nContent-Type: text/html\r\n\r\n"),
+        ip_packet(c, s, 5001, 80, 0x04), ip_packet(s, c, 80, 5000, 0x11),
+    ]
+    (tmp_path / "Malware_DoS").mkdir()
+    (tmp_path / "Malware_DoS/a.pcap").write_bytes(capture(sent))
+    (tmp_path / "Malware_DoS/b.pcap").write_bytes(b"nothing here, no capture at all")
+    (tmp_path / "Malware_DoS/c.pcap").write_bytes(capture([]))
+    rows = pcap.streams(pcap.read(spark, f"file://{tmp_path}/*/a.pcap"))
+    assert [(r.proto, r.stream) for r in rows.orderBy("frame").collect()] == [("tcp", 0), ("tcp", 0), ("udp", 0), ("tcp", 0), ("tcp", 0), ("tcp", 1), ("tcp", 0)]
+    got = {r.session_id: r for r in sessions.accumulate(pcap.fields(rows)).collect()}
+    a = got["tcp_0"]
+    assert set(got) == {"tcp_0", "tcp_1", "udp_0"} and (a.src_ip, a.dst_ip, a.dst_port, a.L7, a.task1) == ("10.0.0.1", "8.8.8.8", "80", "http", "Malware")
+    assert (a.pkt_count, a.fwd_pkt, a.has_SYN, a.has_SYN_ACK, a.has_FIN_cli, a.has_FIN_serv, a.has_RST) == (5, 2, 1, 1, 0, 1, 0)
+    assert (a.http_method, a.http_uri, a.http_host, a.http_ua, a.http_resp_code, a.http_content_type) == ("GET", "/x?a=1", "h.example", "zgrab", "404", "text/html")
+    assert (a.fwd_byte, a.bwd_byte, got["udp_0"].payload_size, got["tcp_1"].has_RST) == (59, 44, 2, 1)
+    assert {r.path[-6:]: r.reason for r in pcap.unreadable(spark, f"file://{tmp_path}/*/*.pcap").collect()} == {"b.pcap": "no capture", "c.pcap": "no packets"}
+
+
 def test_text_sources(spark, tmp_path):
     (tmp_path / "cls").mkdir()
     (tmp_path / "cls/p.tsv").write_text("\t".join(["1", "eth:ip:tcp", "0"] + [""] * 33) + "\n")
@@ -211,6 +240,57 @@ def test_text_sources(spark, tmp_path):
     assert back.count() == 25 and {r.x for r in back.collect()} == {"-"}
 
 
+def test_label_maps_and_manifests(spark, tmp_path):
+    labels_ = spark.createDataFrame([('b "x", y', 1), ("a", 0), ("é", 2)], "label string, id int")
+    text.write_label_map(labels_, f"file://{tmp_path}/map")
+    back = {r.label: r.id for r in text.read_label_map(spark, f"file://{tmp_path}/map").collect()}
+    assert back == {'b "x", y': 1, "a": 0, "é": 2}
+    rows = spark.createDataFrame([("f1", 1), ("f2", 2)], "filename string, n long")
+    done = spark.createDataFrame([("f1",), ("f1",)], "filename string")
+    assert [r.n for r in text.finished(rows, done).collect()] == [1] and [r.n for r in text.unread(spark, rows, done).collect()] == [2]
+    text.write_errors(spark.createDataFrame([("p", "not\ta capture")], "path string, reason string"), f"file://{tmp_path}/errors")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/errors").collect()] == ["p\tnot a capture"]
+    files = spark.createDataFrame([("x.pcap", 1, "b/x.pcap"), ("x.pcap", 0, "a/x.pcap")], "name string, root long, path string")
+    assert [r.path for r in pcap.index(files, "name", "root").collect()] == ["a/x.pcap"]
+
+
+def test_model_surface(spark):
+    rows = spark.createDataFrame([(k, float(k % 2) + k / 100, float(k), "ab"[k % 2], k % 2, int(k % 5 == 0), 0, int(k % 7 == 0)) for k in range(40)], "key long, x double, y double, g string, label long, rule_noise long, cl_issue long, cl_budget long")
+    forest = models.fit_forest(rows, rows.withColumn("x", F.when(F.col("key") > 0, F.col("x"))), ["x", "y"], "label", trees=10)
+    assert forest.where("prediction = label").count() >= 38 and forest.count() == 40
+    sizes = {c: models.removal(rows, c).count() for c in ("raw", "rule", "cl_default", "cl_budget", "random")}
+    assert sizes == {"raw": 40, "rule": 32, "cl_default": 40, "cl_budget": 34, "random": 32}
+    flags = spark.createDataFrame([(1, 0.5), (2, 0.1), (3, 0.1)], "key long, quality double")
+    assert [r.key for r in models.lowest_quality(flags, "key", 2).collect()] == [2, 3]
+    runs = spark.createDataFrame([(r["dataset"], r["seed"], r["exp"]) for r in models.grid(["d"], ["m"], ("full",))], "dataset string, seed long, exp string")
+    assert models.unfinished(runs, runs.limit(3), ["dataset", "seed", "exp"]).count() == 17
+    assert [r.l for r in lists.exclude(spark.createDataFrame([("Twitter",), ("x",)], "l string"), F.col("l"), ("twitter",)).collect()] == ["x"]
+
+
+def test_clocks_and_keys(spark):
+    times = spark.createDataFrame([("03/07/2017 02:10:05",), ("3/7/2017 14:10",), ("-",)], "t string")
+    assert [str(r[0]) for r in times.select(labels.clock(F.col("t"), 3)).collect()] == ["2017-07-03 05:10:05", "2017-07-03 17:10:00", "None"]
+    both = spark.createDataFrame([("a", "1", "b", "2"), ("b", "2", "a", "1")], "s string, sp string, d string, dp string")
+    assert len({r[0] for r in both.select(labels.ends_key(*map(F.col, ("s", "sp", "d", "dp")), F.lit("tcp"))).collect()}) == 1
+    stream = spark.createDataFrame([([("0aff10",), ("01",)],)], "p array<struct<raw: string>>").select(bytesops.bigram_stream(F.col("p"), 6, each=2)).first()[0]
+    assert stream == ["[SEP]", "0aff", "ff10", "[SEP]", "0000", "0000"]
+
+
+def test_list_builder(spark):
+    rows = [(f"f{k}", f"tcp_{k}", "A", "b", "c" if k % 3 else "D", k % 4) for k in range(60)] + [("g", "-", "double", "x", "y", 0)]
+    m = spark.createDataFrame(rows, "filename string, session_id string, task1 string, task2 string, task3 string, noise long")
+    noisy = F.col("noise") == 1
+    made = lists.build(m, noisy, "denoised", excluded=("DOUBLE_X_Y".lower(),), cap=10, least=16)
+    assert made.columns == ["filename", "session_id", "proto", "stream", "group_key", "task1", "task2", "task3", "role"]
+    assert {r.group_key for r in made.collect()} == {"A_b_c"} and made.count() == 10
+    whole = {(r.filename, r.role) for r in lists.build(m, noisy, "noisy").collect()}
+    assert {(r.filename, r.role) for r in made.collect()} <= whole and len(whole) == 61  # one role in every list
+    assert lists.build(m.limit(0), noisy, "noisy", cap=3, least=2).count() == 0
+    null = m.withColumn("g", F.when(F.col("noise") < 2, "x"))
+    ranked = lists.class_ranks(null, "g", 1, "filename")
+    assert sorted((r.g or "", r._rank, r._total) for r in ranked.collect()) == sorted((g, k + 1, n) for g, n in (("x", 31), ("", 30)) for k in range(n))
+
+
 def test_models(spark):
     assert len(models.grid(["d"], ["rf"])) == 60
     old = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.9)], "d string, e long, v double")
