@@ -6,11 +6,12 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from netsieve.operators.analytics import centroids, distance
-from netsieve.operators.lists import order_key
+from netsieve.operators.lists import folds, order_key
 
 # Which list trains and which tests in each experiment, and the seeds.
 EXPERIMENTS = {"exp1": ("denoised", "denoised"), "exp2": ("denoised", "noisy"), "exp3": ("noisy", "denoised"), "exp4": ("noisy", "noisy")}
@@ -82,6 +83,65 @@ def confident_flags(rows: DataFrame, key: str, label: str, vector: str) -> DataF
     return out.select(key, label, best.alias("best"), F.round("quality", 6).alias("quality"), (best != F.col(label)).cast("int").alias("is_issue"))
 
 
+def held_out_probabilities(rows: DataFrame, key: str, label: str, vector: str, folds_: int = 5, seed: int = 42) -> DataFrame:
+    """(key, label, classes, p): for each row its probabilities, arrays by class, from the centroids of the other folds.
+
+    Folds are even within classes. A class that only the row's own fold holds is
+    left out for it. Sums by class and fold are partial aggregates; the centroids
+    of all folds become one array that every row reads.
+    """
+    dealt = folds(rows.select(key, label, vector), label, folds_, seed, key)
+    parts = dealt.select(label, "fold", F.posexplode(vector).alias("pos", "x")).groupBy(label, "fold", "pos").agg(F.sum(F.col("x").cast("double")).alias("x"), F.count("*").alias("n"))
+    whole = parts.groupBy(label, "pos").agg(F.sum("x").alias("all_x"), F.sum("n").alias("all_n"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(folds_ - 1))).alias("fold")
+    rest = whole.select("*", every).join(parts, [label, "pos", "fold"], "left")
+    n = F.col("all_n") - F.coalesce("n", F.lit(0))
+    rest = rest.where(n > 0).withColumn("m", (F.col("all_x") - F.coalesce("x", F.lit(0.0))) / n)
+    centres = rest.groupBy("fold", label).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("centroid"))
+    by_fold = centres.groupBy("fold").agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("class"), "centroid"))).alias("_centres"))
+    scored = dealt.join(F.broadcast(by_fold), "fold")  # one row a fold on the right side
+    apart = F.transform("_centres", lambda c: F.exp(-distance(F.col(vector), c["centroid"])))
+    scored = scored.select(key, label, F.transform("_centres", lambda c: c["class"]).alias("classes"), apart.alias("_e"))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
+    return scored.select(key, label, "classes", F.transform("_e", lambda e: e / total).alias("p"))
+
+
+def _at(values: Column | str, classes: Column | str, which: Column) -> Column:
+    return F.try_element_at(values, F.nullif(F.array_position(classes, which), F.lit(0)).cast("int"))
+
+
+def confident_issues(probabilities: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, label, quality, is_issue): confident learning, pruned by noise rate, on ``held_out_probabilities``.
+
+    A class's threshold is the mean probability of its own rows. A row's guess
+    is the class whose threshold it reaches, the most probable one of all if it
+    reaches several, none if none. The counts of guesses by label, one at least
+    for the label itself, are scaled to the label's rows and rounded, halves to
+    even; so many rows of a label as are guessed to be another class, those of
+    the widest margin towards it (all of equal margins), are issues, unless
+    their label is their most probable class. quality is the label's own probability.
+    """
+    own = _at("p", "classes", F.col(label))
+    scored = probabilities.withColumn("quality", own)
+    # one row a class from here on: thresholds, and guesses by label
+    limits = scored.groupBy(label).agg(F.avg("quality").alias("t"), F.count("*").alias("rows"))
+    known = limits.agg(F.map_from_entries(F.collect_list(F.struct(label, "t"))).alias("_t"))
+    scored = scored.join(F.broadcast(known), how="cross")  # one row on the right side
+    pairs = F.arrays_zip(F.col("classes").alias("c"), F.col("p").alias("x"))
+    sure = F.filter(pairs, lambda z: z["x"] >= F.try_element_at("_t", z["c"]) - 1e-6)
+    top = F.get(F.array_sort(pairs, lambda a, b: F.when(a["x"] > b["x"], -1).when(a["x"] < b["x"], 1).when(a["c"] < b["c"], -1).when(a["c"] > b["c"], 1).otherwise(0)), F.lit(0))["c"]
+    scored = scored.withColumns({"_top": top, "_sure": sure}).withColumn("_guess", F.when(F.size("_sure") == 1, F.get("_sure", F.lit(0))["c"]).when(F.size("_sure") > 1, F.col("_top")))
+    counts = scored.where("_guess IS NOT NULL").groupBy(label, F.col("_guess").alias("guess")).agg(F.count("*").alias("c"))
+    counts = counts.unionByName(limits.select(label, F.col(label).alias("guess"), F.lit(1).cast("long").alias("c"))).groupBy(label, "guess").agg(F.max("c").alias("c"))
+    joint = counts.join(counts.groupBy(label).agg(F.sum("c").alias("all_c")), label).join(limits, label)
+    joint = joint.withColumn("k", F.bround(F.col("c") / F.col("all_c") * F.col("rows")).cast("long")).where(F.col("guess") != F.col(label)).where("k > 0").select(label, "guess", "k")
+    towards = scored.join(F.broadcast(joint), label).select(key, label, "guess", "k", (_at("p", "classes", F.col("guess")) - F.col("quality")).alias("margin")).where("margin IS NOT NULL")
+    rank = F.rank().over(Window.partitionBy(label, "guess").orderBy(F.desc("margin")))
+    hits = towards.withColumn("_rank", rank).where("_rank <= k").select(key).distinct().withColumn("_hit", F.lit(True))
+    issue = F.coalesce("_hit", F.lit(False)) & (F.col("_top") != F.col(label))
+    return scored.select(key, label, "quality", "_top").join(hits, key, "left").select(key, label, F.round("quality", 6).alias("quality"), issue.cast("int").alias("is_issue"))
+
+
 def lowest_quality(flags: DataFrame, key: str, m: int) -> DataFrame:
     """The m rows of lowest quality."""
     return flags.orderBy("quality", key).limit(m)

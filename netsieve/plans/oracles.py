@@ -268,7 +268,7 @@ ORACLES["stats15"] = f"""
     s AS (SELECT user_id, {_stats(['sum', 'max', 'min', 'mean', 'var', 'std', 'sstd', 'gmean', 'q25', 'q50', 'q75', 'iqr', 'range'])} FROM b GROUP BY 1)
     SELECT s.*, CASE WHEN m2 > 0 THEN round(m3 / pow(m2, 1.5), 6) END AS skew, CASE WHEN m2 > 0 THEN round(m4 / (m2 * m2) - 3, 6) END AS kurt FROM s JOIN c USING (user_id)"""
 _PREFIX = " ".join(
-    f"LEFT JOIN (SELECT user_id, {_stats(['sum', 'mean', 'q50', 'sstd'], f'{way}_{k}_')} FROM d WHERE fwd = {way == 'Forward'} AND j <= {k} GROUP BY 1) USING (user_id)" for way in ("Forward", "Backward") for k in (5, 20)
+    f"LEFT JOIN (SELECT user_id, {_stats(['sum', 'max', 'min', 'mean', 'var', 'std', 'sstd', 'gmean', 'q25', 'q50', 'q75', 'iqr', 'range'], f"{way}_{k or 'All'}_")} FROM d WHERE fwd = {way == 'Forward'} AND j <= {k or 10**9} GROUP BY 1) USING (user_id)" for way in ("Forward", "Backward") for k in (None, 5, 10, 15, 20, 25, 30)
 )
 ORACLES["stats15_prefix"] = f"WITH {_FLOW}, d AS (SELECT user_id, fwd, value AS v, row_number() OVER (PARTITION BY user_id, fwd ORDER BY us, event_id) AS j FROM f WHERE value > 0), u AS (SELECT DISTINCT user_id FROM p) SELECT * FROM u {_PREFIX}"
 
@@ -386,6 +386,21 @@ ORACLES["cl_flags"] = f"""
     b AS (SELECT vec_id, label, arg_max(class, (p, -class)) FILTER (p >= t) AS best, max(p) FILTER (class = label) AS quality FROM p JOIN t USING (class) GROUP BY 1, 2)
     SELECT vec_id, label, coalesce(best, label) AS best, round(quality, 6) AS quality, (coalesce(best, label) <> label)::INT AS is_issue FROM b"""
 
+ORACLES["cl_issues"] = f"""
+    WITH r AS (SELECT vec_id, label, embedding, (row_number() OVER (PARTITION BY label ORDER BY {_order(42, 'vec_id')}) - 1) % 5 AS fold FROM embeddings),
+    x AS (SELECT vec_id, label, fold, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM r),
+    s AS (SELECT label AS class, fold, pos, sum(x) AS sx, count(*) AS n FROM x GROUP BY ALL), a AS (SELECT class, pos, sum(sx) AS sx, sum(n) AS n FROM s GROUP BY 1, 2),
+    c AS (SELECT a.class, f.fold, a.pos, (a.sx - coalesce(s.sx, 0)) / (a.n - coalesce(s.n, 0)) AS m FROM a CROSS JOIN (SELECT unnest(range(0, 5)) AS fold) AS f
+          LEFT JOIN s ON s.class = a.class AND s.pos = a.pos AND s.fold = f.fold WHERE a.n > coalesce(s.n, 0)),
+    d AS (SELECT vec_id, label, c.class, exp(-sqrt(sum(pow(x - m, 2)))) AS e FROM x JOIN c ON c.fold = x.fold AND c.pos = x.pos GROUP BY 1, 2, 3),
+    p AS (SELECT vec_id, label, class, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM d), t AS (SELECT class, avg(p) AS t FROM p WHERE class = label GROUP BY 1),
+    g AS (SELECT vec_id, label, count(*) FILTER (p >= t - 1e-6) AS n, arg_max(class, (p, -class)) AS top, min(class) FILTER (p >= t - 1e-6) AS one, max(p) FILTER (class = label) AS quality FROM p JOIN t USING (class) GROUP BY 1, 2),
+    b AS (SELECT label, CASE WHEN n = 1 THEN one WHEN n > 1 THEN top END AS guess, count(*) AS c FROM g GROUP BY 1, 2),
+    j AS (SELECT label, guess, max(c) AS c FROM (SELECT * FROM b WHERE guess IS NOT NULL UNION ALL SELECT DISTINCT label, label, 1 FROM r) GROUP BY 1, 2),
+    k AS (SELECT label, guess, round_even(c / sum(c) OVER (PARTITION BY label) * n, 0)::BIGINT AS k FROM j JOIN (SELECT label, count(*) AS n FROM r GROUP BY 1) USING (label)),
+    m AS (SELECT p.vec_id, k, rank() OVER (PARTITION BY k.label, k.guess ORDER BY p.p - g.quality DESC) AS place FROM k JOIN g USING (label) JOIN p ON p.vec_id = g.vec_id AND p.class = k.guess WHERE k.guess <> k.label AND k > 0)
+    SELECT vec_id, label, round(quality, 6) AS quality, (top <> label AND vec_id IN (SELECT vec_id FROM m WHERE place <= k))::INT AS is_issue FROM g"""
+
 # Reports
 ORACLES["target_signal"] = f"""
     WITH {_CELLS}, w AS (SELECT dataset, seed, (avg(acc) FILTER (exp = 'exp1') - avg(acc) FILTER (exp = 'exp3')) * 100 AS gap FROM c GROUP BY 1, 2)

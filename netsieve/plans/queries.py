@@ -296,9 +296,9 @@ def stats15_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = features.directional(F.col("v"))
     out = {}
     for way in ("Forward", "Backward"):
-        for k in (5, 20):
+        for k in features.PREFIXES:
             found = features.statistics(features.prefix(ways[way], k))
-            out |= {f"{way}_{k}_{s}": F.round(found[s], 6) for s in ("sum", "mean", "q50", "sstd")}
+            out |= {f"{way}_{k or 'All'}_{s}": F.round(found[s], 6) for s in features.STATISTICS if s not in ("skew", "kurt")}
     return f.select("user_id", *[c.alias(n) for n, c in out.items()])
 
 
@@ -507,6 +507,11 @@ def cl_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.confident_flags(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
+@query
+def cl_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return models.confident_issues(models.held_out_probabilities(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding"), "vec_id", "label")
+
+
 @query
 def reservoir_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hash-ordered sample is the same however the rows are dealt."""

@@ -267,6 +267,16 @@ def test_model_surface(spark):
     assert [r.l for r in lists.exclude(spark.createDataFrame([("Twitter",), ("x",)], "l string"), F.col("l"), ("twitter",)).collect()] == ["x"]
 
 
+def test_confident_issues(spark):
+    """A wrong label in each of two clear classes, one of which has a single other row, and a class of one row."""
+    rows = [(k, 0, [0.0 + k / 100, 0.0]) for k in range(20)] + [(100 + k, 1, [9.0, k / 100]) for k in range(20)] + [(200, 1, [0.05, 0.0]), (201, 0, [9.0, 0.05]), (300, 2, [50.0, 50.0])]
+    df = spark.createDataFrame(rows, "key long, label long, v array<double>")
+    got = {r.key: r for r in models.confident_issues(models.held_out_probabilities(df, "key", "label", "v"), "key", "label").collect()}
+    assert {k for k, r in got.items() if r.is_issue} == {200, 201} and len(got) == len(rows)
+    assert got[200].quality < 0.01 < 0.99 < got[0].quality and got[300].quality is None  # nobody else vouches for a class of one row
+    assert models.confident_issues(models.held_out_probabilities(df.limit(0), "key", "label", "v"), "key", "label").count() == 0
+
+
 def test_clocks_and_keys(spark):
     times = spark.createDataFrame([("03/07/2017 02:10:05",), ("3/7/2017 14:10",), ("-",)], "t string")
     assert [str(r[0]) for r in times.select(labels.clock(F.col("t"), 3)).collect()] == ["2017-07-03 05:10:05", "2017-07-03 17:10:00", "None"]
