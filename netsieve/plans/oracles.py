@@ -433,14 +433,23 @@ ORACLES["wire_sessions"] = """
         count(*) FILTER (out <> c) AS bwd_pkt, coalesce(sum(len) FILTER (out <> c), 0)::BIGINT AS bwd_byte, min(n) AS a, max(n) AS z,
         bool_or(n % 11 = 0 AND n % 22 <> 0)::INT AS has_SYN, bool_or(n % 22 = 0)::INT AS has_SYN_ACK, bool_or(n % 13 = 0 AND out = c)::INT AS has_FIN_cli, bool_or(n % 13 = 0 AND out <> c)::INT AS has_FIN_serv,
         bool_or(n % 17 = 0)::INT AS has_RST, bool_or(n % 5 = 0)::INT AS has_TLS_CHLO, bool_or(n % 7 = 0 AND n % 5 <> 0)::INT AS has_TLS_SHLO,
-        coalesce('/a?q=%3Cscript%3E' || min(n) FILTER (n % 9 = 0), '-') AS http_susp_uri FROM k JOIN f USING (filename, st) GROUP BY 1, 2),
+        coalesce('/a?q=%3Cscript%3E' || min(n) FILTER (n % 9 = 0), '-') AS http_susp_uri, 2 * count(*) FILTER (n % 8 = 0) AS tls_heartbeat, count(*) FILTER (n % 9 = 0) AS http_req_count,
+        coalesce(CASE WHEN min(n) FILTER (n % 9 = 0) % 18 = 0 THEN 'POST' WHEN min(n) FILTER (n % 9 = 0) IS NOT NULL THEN 'GET' END, '-') AS http_method, coalesce('h' || (min(n) FILTER (n % 10 = 1) % 4), '-') AS http_host,
+        coalesce('ua' || min(n) FILTER (n % 14 = 0), '-') AS http_ua, CASE WHEN bool_or(n % 16 = 3) THEN '404' ELSE '-' END AS http_resp_code, coalesce('text/' || (min(n) FILTER (n % 16 = 3) % 5), '-') AS http_content_type,
+        coalesce('d' || min(n) FILTER (n % 12 = 5), '-') AS dns_qry, coalesce('s' || min(n) FILTER (n % 10 = 3), '-') AS tls_sni,
+        coalesce(CASE WHEN min(n) FILTER (n % 23 = 0) % 46 = 0 THEN 'a|BotId' WHEN min(n) FILTER (n % 23 = 0) IS NOT NULL THEN 'b|c' END, '-') AS http_post_keys, bool_or(n % 46 = 0)::INT AS has_botid,
+        coalesce('f' || min(n) FILTER (n % 19 = 0) || '.txt', '-') AS upload_filename, coalesce(substr('sip' || min(n) FILTER (n % 20 = 9) || repeat('x', 70), 1, 64), '-') AS sip_ua, bool_or(proto = 'udp' AND n % 24 = 0)::INT AS is_nmap_probe FROM k JOIN f USING (filename, st) GROUP BY 1, 2),
     i AS (SELECT filename, st, 'tcp dup ack ' || (n % 30) AS info, min(n) AS o FROM k WHERE n % 6 = 0 GROUP BY 1, 2, 3),
     j AS (SELECT *, sum(length(info)) OVER (PARTITION BY filename, st ORDER BY o ROWS UNBOUNDED PRECEDING) - length(info) AS before FROM i),
+    arg AS (SELECT filename, st, string_agg(v, ' || ' ORDER BY o) AS ftp_arg FROM (SELECT filename, st, 'arg' || (n % 60) AS v, min(n) AS o FROM k WHERE n % 15 = 0 GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    ssh AS (SELECT filename, st, string_agg(v, ' || ' ORDER BY o) AS ssh_proto FROM (SELECT filename, st, 'SSH-2.0-x' || (n % 2) AS v, min(n) AS o FROM k WHERE n % 21 = 2 GROUP BY 1, 2, 3) GROUP BY 1, 2),
     w AS (SELECT filename, st, string_agg(info, ' || ' ORDER BY o) AS info FROM j WHERE before < 1000 GROUP BY 1, 2)
-    SELECT filename, proto || '_' || st AS session_id, 'x' AS task3, proto AS "L4", CASE proto WHEN 'udp' THEN 'dns' ELSE 'tls' END AS "L7",
-        CASE WHEN c THEN '10.0.0.' ELSE '10.1.0.' END || st AS src_ip, CASE WHEN c THEN '10.1.0.' ELSE '10.0.0.' END || st AS dst_ip, CASE WHEN c THEN '443' ELSE '50000' END AS dst_port,
+    SELECT filename, proto || '_' || st AS session_id, 'Malware' AS task1, 'DoS' AS task2, 'x' AS task3, '-' AS noise_label, 'eth' AS "L2", 'ip' AS "L3", proto AS "L4", CASE proto WHEN 'udp' THEN 'dns' ELSE 'tls' END AS "L7",
+        CASE WHEN c THEN '10.0.0.' ELSE '10.1.0.' END || st AS src_ip, CASE WHEN c THEN '10.1.0.' ELSE '10.0.0.' END || st AS dst_ip, CASE WHEN c THEN server ELSE '50000' END AS dst_port, CASE WHEN c THEN '50000' ELSE server END AS src_port,
         pkt_count, payload_size, fwd_pkt, fwd_byte, bwd_pkt, bwd_byte, a || '.' || lpad((a % 1000)::VARCHAR, 6, '0') AS ts_first, z || '.' || lpad((z % 1000)::VARCHAR, 6, '0') AS ts_last,
-        has_SYN, has_SYN_ACK, has_FIN_cli, has_FIN_serv, has_RST, has_TLS_CHLO, has_TLS_SHLO, http_susp_uri, coalesce(info, '-') AS ws_col_info FROM s LEFT JOIN w USING (filename, st)"""
+        has_SYN, has_SYN_ACK, has_FIN_cli, has_FIN_serv, has_RST, has_TLS_CHLO, has_TLS_SHLO, http_susp_uri, http_susp_uri AS http_uri, coalesce(info, '-') AS ws_col_info,
+        tls_heartbeat, http_req_count, http_method, http_host, http_ua, http_resp_code, http_content_type, dns_qry, tls_sni, http_post_keys, has_botid, upload_filename, sip_ua, is_nmap_probe, coalesce(ftp_arg, '-') AS ftp_arg, coalesce(ssh_proto, '-') AS ssh_proto
+    FROM (SELECT *, CASE proto WHEN 'udp' THEN '111' ELSE '443' END AS server FROM s) AS s LEFT JOIN w USING (filename, st) LEFT JOIN arg USING (filename, st) LEFT JOIN ssh USING (filename, st)"""
 ORACLES["class_renumber"] = "SELECT lang, 'f' || doc_id || '.pcap' AS name, lang || '_' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS new_name FROM documents"
 ORACLES["randomise_identifiers"] = f"""
     WITH {_HEX}, k AS (SELECT doc_id, raw, 'f|' || doc_id AS k, {_crc_table()} AS t FROM h), c AS (SELECT doc_id, raw, {_CRC}::VARCHAR AS seed FROM k),

@@ -94,8 +94,11 @@ def wire_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "udp.stream": F.when(udp, stream.cast("string")).otherwise(empty),
         "ip.src": F.when(out, client).otherwise(server),
         "ip.dst": F.when(out, server).otherwise(client),
-        "tcp.srcport": F.when(out, "50000").otherwise("443"),
-        "tcp.dstport": F.when(out, "443").otherwise("50000"),
+        "tcp.srcport": F.when(udp, empty).when(out, "50000").otherwise("443"),
+        "tcp.dstport": F.when(udp, empty).when(out, "443").otherwise("50000"),
+        "udp.srcport": F.when(~udp, empty).when(out, "50000").otherwise("111"),
+        "udp.dstport": F.when(~udp, empty).when(out, "111").otherwise("50000"),
+        "udp.payload": F.when(udp & (n % 24 == 0), "72:FE:1d:13:00").otherwise(empty),
         "tcp.len": F.when(udp, empty).otherwise(F.col("value").cast("int").cast("string")),
         "udp.length": F.when(udp, (F.col("value").cast("int") % 100).cast("string")).otherwise(empty),
         "tcp.flags.syn": F.when(n % 11 == 0, "1").otherwise("0"),
@@ -106,9 +109,21 @@ def wire_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tls.handshake.type": F.when(n % 5 == 0, "1").when(n % 7 == 0, "11,2").otherwise(""),
         "http.request.uri": F.when(n % 9 == 0, F.concat(F.lit("/a?q=%3Cscript%3E"), n)).otherwise(empty),
         "_ws.col.info": F.when(n % 6 == 0, F.concat(F.lit("TCP Dup ACK "), n % 30)).otherwise("plain"),
+        "tls.record.content_type": F.when(n % 8 == 0, "24,22,24").otherwise(empty),
+        "http.request.method": F.when(n % 18 == 0, "POST").when(n % 9 == 0, "GET").otherwise(empty),
+        "http.host": F.when(n % 10 == 1, F.concat(F.lit("h"), n % 4)).otherwise(empty),
+        "http.user_agent": F.when(n % 14 == 0, F.concat(F.lit("ua"), n)).otherwise(empty),
+        "http.response.code": F.when(n % 16 == 3, "404").otherwise(empty),
+        "http.content_type": F.when(n % 16 == 3, F.concat(F.lit("text/"), n % 5)).otherwise(empty),
+        "dns.qry.name": F.when(n % 12 == 5, F.concat(F.lit("d"), n)).otherwise(empty),
+        "tls.handshake.extensions_server_name": F.when(n % 10 == 3, F.concat(F.lit("s"), n)).otherwise(empty),
+        "urlencoded-form.key": F.when(n % 46 == 0, "a,BotId,a").when(n % 23 == 0, "b,c").otherwise(empty),
+        "mime_multipart.header.content-disposition": F.when(n % 19 == 0, F.concat(F.lit('form-data; filename="f'), n, F.lit('.txt"'))).otherwise(empty),
+        "ftp.request.arg": F.when(n % 15 == 0, F.concat(F.lit("arg"), n % 60)).otherwise(empty),
+        "ssh.protocol": F.when(n % 21 == 2, F.concat(F.lit("SSH-2.0-x"), n % 2)).otherwise(empty),
+        "sip.User-Agent": F.when(n % 20 == 9, F.concat(F.lit("sip"), n, F.repeat(F.lit("x"), F.lit(70)))).otherwise(empty),
     }
-    made = sessions.accumulate(e.select(*[c.alias(name) for name, c in fields.items()]))
-    return made.select("filename", "session_id", "task3", "L4", "L7", "src_ip", "dst_ip", "dst_port", "pkt_count", "payload_size", "fwd_pkt", "fwd_byte", "bwd_pkt", "bwd_byte", "ts_first", "ts_last", "has_SYN", "has_SYN_ACK", "has_FIN_cli", "has_FIN_serv", "has_RST", "has_TLS_CHLO", "has_TLS_SHLO", "http_susp_uri", "ws_col_info")
+    return sessions.accumulate(e.select(*[c.alias(name) for name, c in fields.items()]))
 
 
 # Rules
