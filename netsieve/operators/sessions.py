@@ -84,31 +84,44 @@ def typed(packets: DataFrame) -> DataFrame:
     return out.where("proto IS NOT NULL")
 
 
-def _first(value: Column, when: Column | None = None) -> Column:
-    """The value of the first packet that has one."""
+def first_of(value: Column, when: Column | None = None, order: str = "frame") -> Column:
+    """An aggregate: the value of the first packet that has one, '-' if none has."""
     there = (F.coalesce(value, F.lit("")) != "") if when is None else when
-    return F.coalesce(F.min_by(F.when(there, value), F.when(there, F.col("frame"))), F.lit("-"))
+    return F.coalesce(F.min_by(F.when(there, value), F.when(there, F.col(order))), F.lit("-"))
 
 
-def capped_distinct(rows: DataFrame, keys: list[str], order: str, value: str, cap: int, item: int | None = None, least: int = 1) -> DataFrame:
-    """(keys, value): the different values of each key in order of appearance, joined by ' || '.
+def capped_folds(rows: DataFrame, keys: list[str], order: str, folds: dict[str, tuple[Column, int, int | None, int]]) -> DataFrame:
+    """One row a key with each fold: the different values in order of appearance, joined by ' || ', null where there are none.
 
-    Values are added while the characters so far are under ``cap``, so the last
-    may exceed it; ``item`` cuts each value. As every value has ``least``
-    characters, only cap / least + 1 of them can be taken, which bounds a group.
+    folds: name -> (value, cap, item, least). Values are added while the
+    characters so far are under ``cap``, so the last may exceed it; ``item`` cuts
+    each value. As every value has ``least`` characters, only cap / least + 1 of
+    them can be taken, which bounds a group. All folds are made in one pass.
     """
-    taken = F.substring(value, 1, item) if item else F.col(value)
-    firsts = rows.where(F.coalesce(F.col(value), F.lit("")) != "").select(*keys, order, taken.alias("v")).groupBy(*keys, "v").agg(F.min(order).alias("o"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("o", "v"))
-    few = firsts.withColumn("k", rank).where(F.col("k") <= cap // least + 1)
-    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("all"))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
+    taken = [F.struct(F.lit(name).alias("kind"), (F.substring(value, 1, item) if item else value).alias("v")) for name, (value, _, item, _) in folds.items()]
+    each = F.filter(F.array(*taken), lambda x: F.coalesce(x["v"], F.lit("")) != "")
+    firsts = rows.select(*keys, F.col(order).alias("o"), F.explode(each).alias("x")).groupBy(*keys, "x").agg(F.min("o").alias("o"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "x.kind").orderBy("o", "x.v"))
+    most = max(cap // least + 1 for _, cap, _, least in folds.values())
+    few = firsts.withColumn("k", rank).where(F.col("k") <= most)
+    listed = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", F.col("x.kind").alias("kind"), F.col("x.v").alias("v")))).alias("all"))
+
+    def fold(name: str, cap: int) -> Column:
+        start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
 
-    def add(acc: Column, x: Column) -> Column:
-        more = F.struct((acc["n"] + F.length(x["v"])).alias("n"), F.array_append(acc["kept"], x["v"]).alias("kept"))
-        return F.when(acc["n"] < cap, more).otherwise(acc)
+        def add(acc: Column, x: Column) -> Column:
+            more = F.struct((acc["n"] + F.length(x["v"])).alias("n"), F.array_append(acc["kept"], x["v"]).alias("kept"))
+            return F.when(acc["n"] < cap, more).otherwise(acc)
 
-    return listed.select(*keys, F.array_join(F.aggregate("all", start, add, lambda acc: acc["kept"]), " || ").alias(value))
+        kept = F.aggregate(F.filter("all", lambda x: x["kind"] == name), start, add, lambda acc: acc["kept"])
+        return F.when(F.size(kept) > 0, F.array_join(kept, " || ")).alias(name)
+
+    return listed.select(*keys, *[fold(name, cap) for name, (_, cap, _, _) in folds.items()])
+
+
+def capped_distinct(rows: DataFrame, keys: list[str], order: str, value: str, cap: int, item: int | None = None, least: int = 1) -> DataFrame:
+    """capped_folds of one column, under its own name."""
+    return capped_folds(rows, keys, order, {value: (F.col(value), cap, item, least)})
 
 
 def _is_probe() -> Column:
@@ -150,30 +163,29 @@ def accumulate(packets: DataFrame) -> DataFrame:
         *[F.bool_or(F.array_contains(handshakes, kind)).cast("int").alias(name) for name, kind in HELLO.items()],
         F.sum(F.size(F.filter(F.split("tls_record_content_type", ","), lambda v: v == HEARTBEAT))).alias("tls_heartbeat"),
         F.count_if(F.col("http_request_method") != "").alias("http_req_count"),
-        _first(F.col("tls_handshake_extensions_server_name")).alias("tls_sni"),
-        _first(uri).alias("http_uri"),
-        _first(F.col("dns_qry_name")).alias("dns_qry"),
-        _first(F.col("http_user_agent")).alias("http_ua"),
-        _first(F.col("http_request_method")).alias("http_method"),
-        _first(F.col("http_host")).alias("http_host"),
-        _first(F.col("http_response_code")).alias("http_resp_code"),
-        _first(F.col("http_content_type")).alias("http_content_type"),
-        _first(uri, (uri != "") & suspicious).alias("http_susp_uri"),
-        _first(F.substring("sip_User-Agent", 1, ITEM_CAP)).alias("sip_ua"),
-        _first(upload).alias("upload_filename"),
+        first_of(F.col("tls_handshake_extensions_server_name")).alias("tls_sni"),
+        first_of(uri).alias("http_uri"),
+        first_of(F.col("dns_qry_name")).alias("dns_qry"),
+        first_of(F.col("http_user_agent")).alias("http_ua"),
+        first_of(F.col("http_request_method")).alias("http_method"),
+        first_of(F.col("http_host")).alias("http_host"),
+        first_of(F.col("http_response_code")).alias("http_resp_code"),
+        first_of(F.col("http_content_type")).alias("http_content_type"),
+        first_of(uri, (uri != "") & suspicious).alias("http_susp_uri"),
+        first_of(F.substring("sip_User-Agent", 1, ITEM_CAP)).alias("sip_ua"),
+        first_of(upload).alias("upload_filename"),
         F.coalesce(F.min_by(F.when(F.col("urlencoded-form_key") != "", F.array_join(F.array_distinct(F.split("urlencoded-form_key", ",")), "|")), F.when(F.col("urlencoded-form_key") != "", F.col("frame"))), F.lit("-")).alias("http_post_keys"),
         F.bool_or(F.exists(F.split("urlencoded-form_key", ","), lambda k: F.lower(k) == "botid")).cast("int").alias("has_botid"),
         F.bool_or(_is_probe()).cast("int").alias("is_nmap_probe"),
     )
-    info = p.withColumn("ws_col_info", F.lower("_ws_col_info"))
-    info = info.where(reduce(or_, (F.col("ws_col_info").contains(m) for m in KEPT_INFO)))
-    folds = (
-        capped_distinct(info, KEYS, "frame", "ws_col_info", INFO_CAP, least=min(map(len, KEPT_INFO))),
-        capped_distinct(p.withColumnRenamed("ftp_request_arg", "ftp_arg"), KEYS, "frame", "ftp_arg", ARGUMENT_CAP, ITEM_CAP),
-        capped_distinct(p.withColumnRenamed("ssh_protocol", "ssh_proto"), KEYS, "frame", "ssh_proto", ARGUMENT_CAP, ITEM_CAP),
-    )
-    for fold in folds:
-        one = one.join(fold, KEYS, "left")
+    info = F.lower("_ws_col_info")
+    kept_info = F.when(reduce(or_, (info.contains(m) for m in KEPT_INFO)), info)
+    folds = {
+        "ws_col_info": (kept_info, INFO_CAP, None, min(map(len, KEPT_INFO))),
+        "ftp_arg": (F.col("ftp_request_arg"), ARGUMENT_CAP, ITEM_CAP, 1),
+        "ssh_proto": (F.col("ssh_protocol"), ARGUMENT_CAP, ITEM_CAP, 1),
+    }
+    one = one.join(capped_folds(p, KEYS, "frame", folds), KEYS, "left")
     low = F.col("ends.client") <= F.col("ends.server")
     high_pkt, high_byte = F.col("pkt_count") - F.col("low_pkt"), F.col("payload_size") - F.col("low_byte")
     levels = layers(F.col("chain"))

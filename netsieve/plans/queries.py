@@ -52,7 +52,7 @@ def session_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_nonempty(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     there = (F.col("role") == "assistant") & (F.col("text") != "")
-    return c.groupBy("conv_id").agg(F.md5(F.coalesce(F.min_by(F.when(there, F.col("text")), F.when(there, F.col("turn"))), F.lit("-"))).alias("first_answer"))
+    return c.groupBy("conv_id").agg(F.md5(sessions.first_of(F.col("text"), there, "turn")).alias("first_answer"))
 
 
 @query
