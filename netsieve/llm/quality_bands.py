@@ -6,10 +6,10 @@ or random data to far more, so each length has its own band of allowed ratios
 (compressed bytes / UTF-8 bytes). The base counts come from the same pass.
 
 The bands of ``Bands`` are wide enough for prose of any language and stop only
-coarse junk. ``fit`` narrows them to a corpus: from a bounded sample of rows
-labelled as good it takes, for each class of lengths (two to each doubling),
-the ratios that all but a small share of those rows keep to, and a margin.
-Classes with few labelled rows keep the wide band.
+coarse junk. ``fit`` narrows them to a corpus: from all rows labelled as good
+it takes, for each class of lengths (two to each doubling), the ratios that all
+but a small share of those rows keep to, and a margin. Classes with few
+labelled rows keep the wide band.
 
 Judging is a function of one text: no shuffle, no state, one text in memory
 beside its words. Defined results: a null text counts as empty (all counts 0,
@@ -63,9 +63,9 @@ class Bands:
 
 @dataclass(frozen=True)
 class Fit:
-    """Labelled rows at most, those that a class needs, share of good rows that may lie under or over a limit, and the margin beyond."""
+    """Labelled rows at most (none: all), those that a class needs, share of good rows that may lie under or over a limit, and the margin beyond."""
 
-    rows: int = 20_000
+    rows: int | None = None
     least: int = 50
     share: float = 0.002
     margin: float = 0.01
@@ -199,31 +199,76 @@ def _ratios(bands: Bands):
                 parts = chunk_ratios(raw, bands.chunk_bytes, press)
                 rows.append({"bytes": len(raw), "ratio": len(press.compress(raw)) / len(raw), "low": min(parts, default=None), "high": max(parts, default=None)})
             yield pa.array(rows, pa.struct([("bytes", pa.int64()), ("ratio", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]))
+            release()
 
     return ratios
 
 
+#: Cells that a range of values is cut into at once.
+CELLS = 1024
+
+
+def quantiles(values: DataFrame, shares: tuple[float, ...]) -> dict[int, tuple[int, list[float]]]:
+    """By series, how many values (series int, value double) has and the exact quantiles, those of ``F.percentile``.
+
+    The range that holds a wanted rank is cut into cells, which are counted;
+    the rank's cell is the next range, until all its values are equal. So no
+    task holds a series, and what reaches the driver is counts of cells.
+    values is read once a round and should be a written table.
+    """
+    spark = values.sparkSession
+    series = {r["series"]: r for r in values.groupBy("series").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+    place = {(k, f((r["n"] - 1) * q)): (r["low"], r["high"], 0) for k, r in series.items() for q in shares for f in (math.floor, math.ceil)}
+    while wide := sorted({(k, low, high) for (k, _), (low, high, _) in place.items() if low < high}):
+        ranges = F.broadcast(spark.createDataFrame(wide, "series int, low double, high double"))
+        cell = F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS).alias("cell")
+        held = values.join(ranges, "series").where("value BETWEEN low AND high").groupBy("series", "low", "high", cell)
+        cells: dict[tuple, list] = {}
+        for r in sorted(held.agg(F.count("*").alias("n"), F.min("value").alias("first"), F.max("value").alias("last")).collect(), key=lambda r: r["cell"]):
+            cells.setdefault((r["series"], r["low"], r["high"]), []).append(r)
+        for (k, rank), (low, high, before) in place.items():
+            for r in cells.get((k, low, high), ()):
+                if rank < before + r["n"]:
+                    place[k, rank] = (r["first"], r["last"], before)
+                    break
+                before += r["n"]
+
+    def between(k: int, at: float) -> float:
+        low, high = place[k, math.floor(at)][0], place[k, math.ceil(at)][0]
+        return low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+
+    return {k: (r["n"], [between(k, (r["n"] - 1) * q) for q in shares]) for k, r in series.items()}
+
+
+#: The series of the chunks' least and greatest ratios; lengths have the numbers from 0.
+LOW, HIGH = -1, -2
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bands: Bands | None = None, sample: Fit | None = None) -> Bands:
     """bands narrowed to the rows that labels (id, label: 1 for good) call good.
 
-    At most ``Fit.rows`` labels take part, those of the smallest hashes; what
-    reaches the driver is one row for each class of lengths.
+    Every such row takes part; where ``Fit.rows`` is set, only so many labels,
+    those of the smallest hashes. Ratios are taken of all of docs and then meet
+    the labels, so no text is shuffled and no list of ids need be broadcast.
     """
     bands, sample, spark = bands or Bands(), sample or Fit(), docs.sparkSession
     text_batches(spark)
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label")).where("label = 1")
-    good = F.broadcast(good.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(sample.rows))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(good, "_id", "left_semi")
-    found = Tables(spark, "bands").write(rows.select(_ratios(bands)("text").alias("r")), "ratios").where("r IS NOT NULL").select("r.*")
-    kind = F.floor(2 * F.log2("bytes")).cast("int").alias("kind")
-    ends = F.lit(sample.share), F.lit(1 - sample.share)
-    by_kind = {r["kind"]: r for r in found.groupBy(kind).agg(F.count("*").alias("n"), *[F.percentile("ratio", q).alias(name) for q, name in zip(ends, ("least", "most"), strict=True)]).collect()}
-    chunk = found.where("low IS NOT NULL").agg(F.count("*").alias("n"), F.percentile("low", ends[0]).alias("least"), F.percentile("high", ends[1]).alias("most")).first()
-
-    def narrowed(wide: tuple[float, float], row) -> tuple[float, float]:
-        return (max(wide[0], row["least"] - sample.margin), min(wide[1], row["most"] + sample.margin)) if row and row["n"] >= sample.least else wide
+    tables = Tables(spark, "bands")
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("label")).where("label = 1").select("_id")
+    if sample.rows is not None:
+        good = good.orderBy(F.xxhash64("_id"), "_id").limit(sample.rows)
+    # written first: else the join moves below the function, to the texts
+    rows = tables.write(docs.select(F.col(id_col).alias("_id"), _ratios(bands)(text_col).alias("r")), "ratios").where("r IS NOT NULL").join(good, "_id", "left_semi").select("r.*")
+    kind = F.floor(2 * F.log2("bytes")).cast("int")
+    each = F.array(*[F.struct(k.alias("series"), F.col(c).alias("value")) for k, c in ((kind, "ratio"), (F.lit(LOW), "low"), (F.lit(HIGH), "high"))])
+    found = quantiles(tables.write(rows.select(F.inline(each)).where("value IS NOT NULL"), "values"), (sample.share, 1 - sample.share))
+
+    def narrowed(wide: tuple[float, float], low: int, high: int) -> tuple[float, float]:
+        if low not in found or found[low][0] < sample.least:
+            return wide
+        return max(wide[0], found[low][1][0] - sample.margin), min(wide[1], found[high][1][1] + sample.margin)
 
     whole = []
     for k in range(2, 2 * math.ceil(math.log2(bands.whole[-2][0])) + 20 if len(bands.whole) > 1 else 60):
-        whole.append((2 ** ((k + 1) / 2), *narrowed(limits(bands, 2 ** ((k + 0.5) / 2)), by_kind.get(k))))
-    return replace(bands, whole=(*whole, bands.whole[-1]), chunk=narrowed(bands.chunk, chunk))
+        whole.append((2 ** ((k + 1) / 2), *narrowed(limits(bands, 2 ** ((k + 0.5) / 2)), k, k)))
+    return replace(bands, whole=(*whole, bands.whole[-1]), chunk=narrowed(bands.chunk, LOW, HIGH))

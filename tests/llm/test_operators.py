@@ -97,6 +97,31 @@ def test_fitted_bands(spark):
     assert quality_bands.quality_report(odd, bands=bands).count() == 4
 
 
+def test_bands_of_all_good_rows(spark):
+    """Limits are quantiles of every row labelled as good, however many there are; a bound holds only where it is asked for."""
+    words = F.transform(F.sequence(F.lit(1), 50 + F.col("doc_id") % 97), lambda k: F.md5(F.concat_ws(".", "doc_id", k)).substr(F.lit(1), (3 + (F.col("doc_id") + k * k) % 7).cast("int")))
+    docs = spark.range(24_000, numPartitions=4).select(F.col("id").alias("doc_id")).withColumn("text", F.concat_ws(" ", words))
+    labels = docs.select("doc_id", (F.col("doc_id") % 100 != 0).cast("int").alias("quality"))
+    good = quality_bands.quality_report(docs).where("not base_failed and doc_id % 100 != 0").join(docs, "doc_id").select("ratio", F.octet_length("text").alias("n")).toPandas()
+    assert len(good) == 23_760
+    bands, part = quality_bands.fit(docs, labels), quality_bands.fit(docs, labels, sample=quality_bands.Fit(rows=2000))
+    kinds = np.floor(2 * np.log2(good["n"])).astype(int)
+    for k in set(kinds):
+        least, most = np.quantile(good["ratio"][kinds == k], [0.002, 0.998])
+        assert quality_bands.limits(bands, 2 ** ((k + 0.5) / 2)) == pytest.approx((least - 0.01, most + 0.01), abs=1e-12)
+    assert part != bands
+
+
+def test_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(0, rng.random()) for _ in range(3000)] + [(1, 0.5)] * 400 + [(2, rng.choice([0.25, 0.5, 1e-9, 1e9])) for _ in range(501)] + [(-1, 0.1)]
+    rows += [(-2, 0.3 + k * 2.0**-54) for k in range(64)] * 3
+    values, shares = spark.createDataFrame(rows, "series int, value double").repartition(5), (0.0, 0.002, 0.5, 0.77, 0.998, 1.0)
+    expected = {r.series: (r.n, r.q) for r in values.groupBy("series").agg(F.count("*").alias("n"), F.percentile("value", list(shares)).alias("q")).collect()}
+    assert quality_bands.quantiles(values, shares) == expected
+    assert quality_bands.quantiles(values.limit(0), shares) == {}
+
+
 # 2
 
 
